@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subtide.llm import lookalike, pairs, pieces, runs
+from subtide.llm import leaks, lookalike, packing, pairs, pieces, residue, runs
 from subtide.llm import repetition as rep
 from subtide.sources import tables
 
@@ -73,8 +73,32 @@ def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _split(spark, folder)
 
 
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(tables.table(spark, folder, "documents"))
+
+
+def _leaked(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked(tables.table(spark, folder, "documents"), tables.table(spark, folder, "eval_items"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaked(spark, folder).select("item_id", "doc_id")
+
+
+def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.removal_spans(_leaked(spark, folder))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(tables.table(spark, folder, "documents")).select("doc_id")
+
+
+def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.without_residue(tables.table(spark, folder, "documents")).select("doc_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_defects, p3_found, p3_measures, p4_found, p4_forms, p5_found, p5_events, p6_found, p6_pieces)}
+    return {f.__name__: f for f in (p2_found, p2_defects, p3_found, p3_measures, p4_found, p4_forms, p5_found, p5_events, p6_found, p6_pieces, p7_containers, p8_found, p8_spans, p9_found, p9_kept)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,155 @@
+"""Template residue, filler and notices of failed pages in documents (problem 9).
+
+Labelled exemplars are indexed by their terms. A document is cut into passage windows (sentences); the index retrieves,
+through each exemplar's rarest terms, the exemplars that a passage can match, and the TF-IDF containment of passage and
+exemplar decides. Placeholders are one term, whatever they look like, so that a passage holding one meets the exemplars
+of placeholders; exemplars labelled 'mention' speak about such things and keep a passage that they cover.
+
+Weights come from the corpus: the passages of all documents in which a term of the index occurs are counted in one
+aggregate. The index holds only the exemplars' terms and is bounded by them, so it is broadcast; documents are not
+shuffled, only their matches are.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from subtide.functions.columns import let
+
+SLOT = "xslotx"
+#: The shapes of unfilled places.
+SLOTS = (
+    r"\{\{\{?[^{}\n]{0,80}\}?\}\}", r"\$\{[\p{L}_][\p{L}\p{N}_.]*\}", r"<%=?[^%\n]{1,80}%>", r"\[%[^%\n]{1,80}%\]", r"\{%[^%\n]{1,80}%\}", r"%%[\p{L}_]{2,40}%%", r"__[A-Z][A-Z_]{1,40}__", r"@@[\p{L}_]{2,40}@@",
+    r"\[\[[\p{L}_ ]{2,40}\]\]", r"%\([\p{L}_]{1,40}\)[sdif]", r"#\{[\p{L}_]{1,40}\}", r"(?<![\p{L}\p{N}\"'])\{[a-z_]{3,40}\}", r"<(?!/)(?!(?:font|span|ruby|center|small|strong|code)>)[a-z][a-z_]{3,40}>(?![^\n]{0,200}</)",
+    r"\[(?:[A-Z]{2,20} )+[A-Z]{2,20}\]", r"\[(?i:insert|enter|add|your|fill in|replace)[^\]\n]{1,60}\]", r"【(?:此处|此處|请|待|在此|填写|插入)[^】\n]{0,30}】", r"[（(](?:待补充|待填|待定|此处|请填写|插入)[^）)\n]{0,30}[）)]", r"\bX{4,}\b", r"\b(?:TBD|TODO|FIXME)\b",
+)
+#: Labelled exemplars. SLOT stands for any placeholder.
+EXEMPLARS: tuple[tuple[str, str], ...] = tuple(
+    [("placeholder", SLOT), ("placeholder", "undefined undefined undefined"), ("placeholder", "null null null"), ("placeholder", "NaN NaN NaN"), ("placeholder", "[object Object]"), ("placeholder", "your text here"), ("placeholder", "text goes here"), ("placeholder", "insert title here"), ("placeholder", "sample text sample text")]
+    + [("mention", t) for t in (
+        f"the macro fills a {SLOT} field on its own", f"the export fills the {SLOT} field before release", f"the tag {SLOT} moves a line", f"the placeholder {SLOT} means", f"a variable called {SLOT}", f"the template uses {SLOT} as a variable", f"write {SLOT} in the script where the name goes", f"标签 {SLOT} 的意思是", f"占位符 {SLOT} 会自动替换", f"变量 {SLOT} 由脚本填入", f"the syntax {SLOT} is replaced by the exporter",
+    )]
+    + [("filler", t) for t in (
+        "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum",
+        "lorem ipsum ut labora incidunt consectum adipis elitor tempora quis nulla magna vel eosdem temporam nisi blandit aequor minim nostrum exerci quam rerum doloris dolorem sit veniam fugit pariatur sint",
+        "示例段落示例段落", "正式上线前删除", "文字文字文字文字", "此处为占位文字", "请替换为正文", "这里是示例文字", "测试文本测试文本", "此处填写内容", "内容待补充", "the quick brown fox jumps over the lazy dog", "this is placeholder text", "this is sample text", "replace this text before publishing", "asdf asdf asdf", "test test test",
+    )]
+    + [("error_page", t) for t in (
+        "404 Not Found", "Error 404", "The page you requested could not be found on this server", "The page you are looking for does not exist or has been removed", "Page not found", "403 Forbidden", "You don't have permission to access this resource", "500 Internal Server Error", "502 Bad Gateway", "503 Service Temporarily Unavailable", "504 Gateway Time-out", "The upstream server sent an invalid response",
+        "Error 500: something went wrong while rendering this episode", "Oops something went wrong", "An unexpected error has occurred please try again later", "The server is temporarily unable to service your request", "Down for maintenance back at 06:00", "We are down for scheduled maintenance", "Content removed at the request of the uploader", "This content is no longer available", "This video is not available in your country",
+        "Traceback (most recent call last)", "Fatal error: undefined index 'episode' in render_card on line 88", "Uncaught exception in module on line 88", "Connection timed out", "This site can't be reached", "Database connection failed", "系统繁忙，请稍后再试", "错误码 50013", "抱歉，您访问的页面不存在或已被删除", "您访问的页面不存在", "页面走丢了，58181 秒后返回上一页", "页面不存在", "服务器内部错误", "网络异常请刷新重试", "该内容已被删除", "该内容已下架", "网站维护中请稍后访问", "加载失败请重试", "找不到您要的页面", "该剧集暂时无法播放，正在跳转到首页",
+    )]
+    + [("access", t) for t in (
+        "Access denied", "You do not have permission to view this transcript", "You do not have permission to view this page", "Please log in to continue", "Please sign in to view this content", "Your session has expired please log in again", "Subscribe to continue reading", "This content is for members only", "Too many requests", "You have been blocked", "登录已过期，请重新登录后查看字幕", "请登录后查看", "您没有权限访问此页面", "无权访问该内容", "仅限会员观看", "访问被拒绝",
+    )]
+    + [("consent", t) for t in (
+        "We use cookies", "Accept all cookies to continue reading this page", "This website uses cookies to improve your experience", "By continuing to use this site you agree to our use of cookies", "Manage your cookie preferences", "本网站使用 Cookie", "继续浏览即表示您同意我们使用 Cookie", "请接受所有 Cookie 以继续阅读", "我们使用 Cookie 改善您的体验",
+    )]
+    + [("loading", t) for t in (
+        "Loading", "Loading please wait", "Please wait while the page is loading", "You are being redirected", "Redirecting to the home page", "正在加载", "加载中请稍候", "加载中", "正在跳转到首页", "页面加载中请稍候", "Checking your browser before opening the site", "Please verify you are a human", "Verifying that you are not a robot", "Verify that you are human by ticking the box below", "请完成验证以继续", "正在检查您的浏览器",
+    )]
+    + [("script", t) for t in (
+        "Please enable JavaScript to view this page", "You need to enable JavaScript to run this app", "JavaScript is disabled in your browser", "This site needs scripts to run", "Turn them on in your browser and reload", "Switch scripting on", "This page requires JavaScript", "Your browser does not support this feature please upgrade", "请在浏览器中启用 JavaScript 后继续浏览", "请启用 JavaScript", "您的浏览器不支持脚本", "本页面需要脚本支持",
+    )]
+)
+
+MENTION = "mention"
+COVERED, CONTAINED, MENTIONED = 0.45, 0.7, 0.5
+
+
+def slotted(text: Column) -> Column:
+    """The text with every unfilled place as the one term SLOT."""
+    for shape in SLOTS:
+        text = F.regexp_replace(text, shape, f" {SLOT} ")
+    return text
+
+
+def terms(passage: Column) -> Column:
+    """Distinct terms: words, numbers (as one term), and pairs of neighbouring ideographs."""
+    low = F.lower(F.translate(passage, "’", "'"))
+    words = F.transform(F.regexp_extract_all(low, F.lit(r"[\p{IsLatin}']+|\d+"), F.lit(0)), lambda w: F.when(w.rlike(r"^\d+$"), F.lit("0")).otherwise(w))
+    pairs = F.regexp_extract_all(low, F.lit(r"(?=([一-鿿]{2}))"), F.lit(1))
+    return F.array_distinct(F.filter(F.concat(words, pairs), lambda w: w != ""))
+
+
+def passages(text: Column) -> Column:
+    """Windows: sentences and lines, with placeholders as terms; windows without a term are none."""
+    parts = F.split(slotted(text), r"[\n。！？]+|(?<=[.!?…])\s+|[|]|……")
+    return F.filter(F.transform(F.filter(parts, lambda p: p.rlike(r"[\p{L}\p{N}]")), terms), lambda t: F.size(t) > 0)
+
+
+def exemplar_terms(spark: SparkSession, exemplars: tuple[tuple[str, str], ...] = EXEMPLARS) -> list[tuple[int, str, list[str]]]:
+    """(number, label, terms) of each exemplar, by the same expression as the documents; bounded by the exemplars."""
+    schema = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("text", T.StringType())])
+    rows = spark.createDataFrame([(n, label, text) for n, (label, text) in enumerate(exemplars)], schema)
+    return [(r.n, r.label, list(r.t)) for r in rows.select("n", "label", terms(F.col("text")).alias("t")).collect() if r.t]
+
+
+def weigh(windows: DataFrame, known: list[str]) -> tuple[dict[str, float], float]:
+    """Inverse document frequencies of the index terms over all passages, and the weight of any other term."""
+    held = F.explode(F.concat(F.filter("t", lambda x: x.isin(*known)), F.array(F.lit(""))))  # "" counts the passages
+    counted = {r.term: r.n for r in windows.select(held.alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}  # one row per term
+    total = counted.get("", 0)
+    idf = {k: math.log((total + 1) / (counted.get(k, 0) + 1)) + 1 for k in known}
+    return idf, sum(idf.values()) / max(1, len(idf))
+
+
+def matches(documents: DataFrame, exemplars: tuple[tuple[str, str], ...] = EXEMPLARS) -> DataFrame:
+    """doc_id, passage, labels, containment, slot, mentioned: passages and what they match.
+
+    containment is the share of the passage's weight that lies in exemplars of which it covers at least COVERED; labels
+    are theirs. slot: it holds an unfilled place; mentioned: it covers MENTIONED of an exemplar of talk about one.
+    """
+    spark = documents.sparkSession
+    index = [(n, label, [t for t in ts if label != MENTION or t != SLOT]) for n, label, ts in exemplar_terms(spark, exemplars)]
+    known = sorted({t for _, _, ts in index for t in ts})
+    windows = documents.filter("doc_id is not null and text is not null").select("doc_id", F.posexplode(passages(F.col("text"))).alias("passage", "t"))
+    idf, other = weigh(windows, known)
+    listed, anchors = [], {}
+    for n, label, ts in index:
+        whole = sum(idf[t] for t in ts)
+        listed.append((n, label, float(whole), ts))
+        # A passage without any anchor covers less than COVERED (or MENTIONED) of the exemplar.
+        least, left = (MENTIONED if label == MENTION else COVERED) * whole, whole
+        for t in sorted(ts, key=lambda t: (-idf[t], t)):
+            if left < least:
+                break
+            anchors.setdefault(t, []).append(n)
+            left -= idf[t]
+    # The inverted index and the exemplars, both bounded by the list of exemplars.
+    postings = spark.createDataFrame([(t, n) for t, ns in anchors.items() for n in ns], "term string, n int")
+    texts = spark.createDataFrame(listed, "n int, label string, whole double, et array<string>")
+    hits = F.filter("t", lambda x: x.isin(*anchors))
+    hit = windows.withColumn("hits", hits).filter("size(hits) > 0").select("doc_id", "passage", "t", F.explode("hits").alias("term"))
+    met = hit.join(F.broadcast(postings), "term").select("doc_id", "passage", "t", "n").join(F.broadcast(texts), "n")
+    weights = F.create_map(*[F.lit(x) for k in known for x in (k, idf[k])])
+    weight = lambda ts: F.aggregate(ts, F.lit(0.0), lambda a, t: a + F.when(t.isin(*known), F.try_element_at(weights, t)).otherwise(other))
+    met = met.withColumn("both", F.array_intersect("t", "et")).withColumn("coverage", weight(F.col("both")) / F.col("whole"))
+    met = met.filter((F.col("coverage") >= COVERED) | ((F.col("label") == MENTION) & (F.col("coverage") >= MENTIONED)))
+    real = F.col("label") != MENTION
+    grouped = met.groupBy("doc_id", "passage").agg(
+        F.first("t").alias("t"), F.collect_set(F.when(real, F.col("label"))).alias("labels"), F.flatten(F.collect_set(F.when(real, F.col("both")))).alias("covered"), F.bool_or(~real & (F.col("coverage") >= MENTIONED)).alias("mentioned")
+    )
+    return grouped.select("doc_id", "passage", "labels", (weight(F.array_distinct("covered")) / weight(F.col("t"))).alias("containment"), F.array_contains("t", SLOT).alias("slot"), "mentioned")
+
+
+def residue(documents: DataFrame, exemplars: tuple[tuple[str, str], ...] = EXEMPLARS) -> DataFrame:
+    """doc_id, labels: the documents that consist of or contain residue, and of which kinds.
+
+    A passage is residue if at least ``CONTAINED`` of its weight lies in exemplars of which it covers at least
+    ``COVERED``, or if it holds an unfilled place; but a passage with such a place that also covers ``MENTIONED`` of an
+    exemplar of talk about one is none. Null and blank texts, and passages without letters or digits, are no case.
+    Repeated doc_ids are one case; further columns are not read; an empty table gives no rows.
+    """
+    m = matches(documents, exemplars)
+    case = m.filter((F.size("labels") > 0) & ((F.col("containment") >= CONTAINED) | F.col("slot")) & ~(F.col("slot") & F.col("mentioned")))
+    return case.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels")))).alias("labels"))
+
+
+def without_residue(documents: DataFrame, exemplars: tuple[tuple[str, str], ...] = EXEMPLARS) -> DataFrame:
+    """The documents that are no case, as they are; documents with a null doc_id are kept."""
+    return documents.join(residue(documents, exemplars).select("doc_id"), "doc_id", "left_anti")
