@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from subtide.plans import periods
+from subtide.plans import memory, periods, texts, timeline
 
-_MODULES = (periods,)
+_MODULES = (periods, timeline, texts, memory)
 
 
 def queries() -> dict:
