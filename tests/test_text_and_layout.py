@@ -1,0 +1,164 @@
+import pytest
+from pyspark.sql import functions as F
+
+from subtide.functions import text as X
+from subtide.functions import words as W
+from subtide.operators import audit, contracts, folds, layout
+from subtide.sources import files, sinks
+
+WORDS = "array<struct<start_ms:bigint,end_ms:bigint,word:string>>"
+SEG = f"series string, episode string, pos int, id int, start_ms bigint, end_ms bigint, text_zh string, words {WORDS}, en string"
+
+
+def one(spark, column, **values):
+    row = spark.createDataFrame([tuple(values.values())], list(values)) if values else spark.range(1)
+    return row.select(column.alias("x")).first().x
+
+
+def seg(spark, *rows):
+    return spark.createDataFrame([("s", "1", i + 1, i + 1, a, z, "字", w, en) for i, (a, z, w, en) in enumerate(rows)], SEG)
+
+
+def test_times_and_measures(spark):
+    assert one(spark, X.time_text(F.lit(3_723_004))) == "01:02:03,004"
+    assert one(spark, X.time_text(F.lit(-5))) == "00:00:00,000"
+    assert one(spark, X.time_text(F.lit(400_000_000))) == "111:06:40,000"
+    assert one(spark, X.time_ms(F.lit("1:02:03,004"))) is None
+    assert one(spark, X.visible(F.lit("a b c　d\n"))) == 4
+    assert one(spark, X.nfkc(F.lit(" ＡＢ１ "))) == "AB1"
+    assert one(spark, X.redact(F.lit("key abc"), "abc")) == "key [REDACTED]"
+    names = ["Episode 10", "Episode 2", "Episode 1"]
+    got = spark.createDataFrame([(f"/x/{n}.mp4",) for n in names], ["path"])
+    assert [r.path for r in files.natural_order(got).collect()] == [f"/x/Episode {n}.mp4" for n in (1, 2, 10)]
+    assert [r.path for r in files.from_episode(got, 2).orderBy("path").collect()] == ["/x/Episode 10.mp4", "/x/Episode 2.mp4"]
+
+
+def test_wrapping_keeps_words_and_limits(spark):
+    text = "The elder of the northern sect would never have given the bronze mirror to a stranger"
+    got = one(spark, X.wrap_lines(F.split(F.lit(text), " ")))
+    assert got.replace("\n", " ") == text and all(len(x) <= 42 for x in got.split("\n")) and got.count("\n") == 1
+    assert one(spark, X.wrap_lines(F.split(F.lit(text + " " + text), " "))) is None
+    assert layout.split_words(got.split(), 3000) == [got]
+
+
+def test_names_stay_together(spark):
+    got = one(spark, X.layout_words(F.lit("I saw Demon Ancestor wait  12 years in Old City"), F.array(F.lit("Demon Ancestor"))))
+    assert got == ["I", "saw", "Demon Ancestor", "wait", "12 years", "in", "Old City"]
+
+
+@pytest.mark.parametrize("duration", [1000, 7000, 20000])
+def test_parts_preserve_the_text(duration):
+    words = ("when the moon rose over the frozen lake, the elder spoke of the key; nobody answered him. " * 4).split()
+    parts = layout.split_words(words, duration)
+    assert " ".join(parts).replace("\n", " ").split() == words
+    assert all(p.count("\n") <= 1 and max(map(len, p.split("\n"))) <= 42 for p in parts)
+    assert layout.split_words(["x" * 90, "y"], 1000)[0] == "x" * 90
+
+
+def test_islands_and_suspects(spark):
+    w = [(81_500, 82_560, "前"), (100_350, 100_530, "后")]
+    df = spark.createDataFrame([(81_000, 101_000, w), (0, 1000, None), (0, 7000, [])], f"start_ms bigint, end_ms bigint, words {WORDS}")
+    got = [r.r for r in df.select(W.suspect_reasons(F.col("start_ms"), F.col("end_ms"), F.col("words")).alias("r")).collect()]
+    assert (got[0].reasons, got[0].largest_gap_ms, got[0].islands) == (["multiple_speech_islands", "large_internal_word_gap", "long_duration"], 17_790, 2)
+    assert (got[1].reasons, got[1].islands) == ([], 0) and got[2].reasons == ["long_duration"]
+
+
+def test_refine_repairs_overlap_and_uses_words(spark):
+    cues = layout.refine(seg(spark, (10_000, 12_500, None, "Hello."), (12_300, 14_000, None, "Goodbye."))).orderBy("id").collect()
+    assert [c.text for c in cues] == ["Hello.", "Goodbye."] and cues[0].end_ms <= cues[1].start_ms
+    (cue,) = layout.refine(seg(spark, (0, 5000, [(1000, 2000, "字")], "Word."))).collect()
+    assert (cue.start_ms, cue.end_ms) == (950, 2100)
+    (cue,) = layout.refine(seg(spark, (0, 19_000, None, "No words."), (20_000, 21_000, None, " "))).collect()
+    assert 1000 <= cue.end_ms - cue.start_ms <= 6000 and cue.fallback_capped
+    gap = [(81_500, 82_560, "前"), (100_350, 100_530, "后")]
+    (cue,) = layout.refine(seg(spark, (81_000, 101_000, gap, "Front."))).collect()
+    assert cue.island_split and cue.end_ms - cue.start_ms <= 6000
+    assert layout.refine(seg(spark).limit(0)).count() == 0
+
+
+def test_cues_never_overlap_and_count_from_one(spark):
+    text = "The elder of the northern sect would never have given the bronze mirror to a stranger, not even for ten thousand spirit stones."
+    cues = layout.refine(seg(spark, *[(i * 900, i * 900 + 2500, None, text) for i in range(40)])).orderBy("id").collect()
+    assert [c.id for c in cues] == list(range(1, len(cues) + 1))
+    assert all(a.end_ms <= b.start_ms for a, b in zip(cues, cues[1:], strict=False))
+
+
+def test_cleanup_merges_and_keeps(spark):
+    rows = [(0, 1000, "你好"), (900, 1200, "你好"), (3000, 4000, "你好"), (3900, 5000, "走"), (6000, 7000, "来，"), (7100, 8000, "快"), (9000, 9000, "空"), (9100, 9500, " ")]
+    df = spark.createDataFrame([("s", "1", i, i, a, z, t, None, None) for i, (a, z, t) in enumerate(rows)], SEG)
+    got = [(r.id, r.start_ms, r.end_ms, r.text_zh) for r in folds.cleanup(df).orderBy("id").collect()]
+    assert got == [(1, 0, 1200, "你好"), (2, 3000, 4000, "你好"), (3, 3900, 5000, "走"), (4, 6000, 8000, "来，快")]
+
+
+def test_recovered_rows_are_clipped_between_neighbours(spark):
+    base = spark.createDataFrame([("s", "1", 1, 50_760, 51_370, "前", []), ("s", "1", 2, 53_000, 54_000, "后", [])], f"series string, episode string, id bigint, start_ms bigint, end_ms bigint, text_zh string, words {WORDS}")
+    new = spark.createDataFrame([("s", "1", 50_920, 51_500, "再", [(50_920, 51_500, "再")])], f"series string, episode string, start_ms bigint, end_ms bigint, text_zh string, words {WORDS}")
+    got = [(r.id, r.start_ms, r.end_ms, r.recovered) for r in folds.merge_recovered(base, new).orderBy("start_ms").collect()]
+    assert got == [(1, 50_760, 51_370, False), (3, 51_370, 51_500, True), (2, 53_000, 54_000, False)]
+
+
+@pytest.mark.parametrize(("text", "near", "verdict"), [("哈哈哈哈哈哈", [], "repetition"), ("[Music]", [], "empty_or_no_chinese"), ("再见", ["我们再见"], "duplicate_neighbor"), ("再见", [None, ""], "ok"), ("好abcdef", [], "mostly_non_chinese"), (None, [], "empty_or_no_chinese")])
+def test_recovery_verdicts(spark, text, near, verdict):
+    df = spark.createDataFrame([(text, near)], "t string, n array<string>")
+    assert df.select(audit.recovery_verdict(F.col("t"), F.col("n")).alias("v")).first().v == verdict
+
+
+def test_audit_is_idempotent(spark):
+    rows = [("s", "1", i, i * 5000, i * 5000 + 2000, f"第{i}句话", None, False) for i in range(1, 4)]
+    segments = spark.createDataFrame(rows, f"series string, episode string, id int, start_ms bigint, end_ms bigint, text_zh string, words {WORDS}, recovered boolean")
+    speech = spark.createDataFrame([("s", "1", 7600, 8600)], "series string, episode string, start_ms bigint, end_ms bigint")
+    hear = lambda w: w.withColumns({"text_zh": F.lit("再见"), "words": F.array(F.struct("start_ms", "end_ms", F.lit("再见").alias("word")))})
+    once, report = audit.audit(segments, speech, hear)
+    again, second = audit.audit(once, speech, hear)
+    key = lambda df: sorted((r.id, r.start_ms, r.text_zh) for r in df.collect())
+    assert key(once) == key(again) and once.count() == 4
+    assert (report.first().windows, report.first().recovered) == (1, 1) == (second.first().windows, second.first().recovered)
+    off, plain = audit.audit(segments, speech, None)
+    assert off.count() == 3 and not plain.first().enabled
+
+
+def test_contracts():
+    good = '{"translations":[{"id":1,"en":"a"},{"id":2,"en":"b"}]}'
+    assert contracts.reply(good, [1, 2])[0] == "ok"
+    assert contracts.reply(f"```json\n{good}\n```", [1, 2])[0] == "ok"
+    bad = [(good, [2, 1]), (good, [1]), ('[{"id":1,"en":"a"}]', [1]), ('{"translations":[{"id":true,"en":"a"}]}', [1]), ('{"translations":[{"id":1,"en":" "}]}', [1]), ('{"translations":[{"id":1,"en":"a","x":1}]}', [1]), ("no", [1]), (f"```\n{good}\n```", [1, 2])]
+    assert all(contracts.reply(c, i)[0] == "parse" for c, i in bad)
+    assert contracts.reply(None, [1])[0] == "empty"
+    body = '{"choices":[{"message":{"content":"x"},"finish_reason":"stop"}]}'
+    assert contracts.completion(body + "\ndata: [DONE]") == ("ok", "x", "stop")
+    assert contracts.completion(body + " more")[0] == "parse"
+    assert contracts.completion('{"choices":[{"message":{"content":"x"},"finish_reason":"length"}]}')[0] == "length"
+
+
+def test_srt_and_json_round_trip(spark, tmp_path):
+    cues = spark.createDataFrame([("s", "1", 1, 0, 1500, "Hi\nthere"), ("s", "1", 2, 1500, 2000, " "), ("s", "1", 3, 2000, 3_600_000, "Bye")], "series string, episode string, id int, start_ms bigint, end_ms bigint, text string")
+    sinks.write_srt(cues, str(tmp_path / "srt"), ["series", "episode"], "id")
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.srt").write_text("﻿1\n00:00:01,000 --> 00:00:02,000\nA\nB\n\n2\nbad\nC\n\nx\n", encoding="utf-8")
+    got = sorted(tuple(r)[1:] for r in files.read_srt(spark, str(tmp_path / "one")).collect())
+    assert got == [(1, 1, 1000, 2000, "A\nB", None), (2, 2, None, None, "C", "time"), (3, None, None, None, "", "lines")]
+    texts = sinks.srt_texts(cues, ["series", "episode"], "id")
+    back = sorted((r.id, r.start_ms, r.end_ms, r.text) for r in files.parse_srt(texts, ["series"], "srt", strict=True).collect())
+    assert back == [(1, 0, 1500, "Hi\nthere"), (2, 2000, 3_600_000, "Bye")]
+    sinks.replace_table(spark, cues, str(tmp_path / "t"))
+    sinks.replace_table(spark, cues.limit(1), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1 and [p.name for p in tmp_path.iterdir() if p.name.startswith("t.")] == []
+    import numpy as np
+
+    sinks.save_json(tmp_path / "r.json", {"a": np.int64(1), "b": [np.float64(0.5), np.bool_(True)], "c": np.array([1, 2])})
+    assert (tmp_path / "r.json").read_text().replace("\n", "").replace(" ", "") == '{"a":1,"b":[0.5,true],"c":[1,2]}'
+    with pytest.raises(TypeError):
+        sinks.json_safe(object())
+
+
+def test_states_and_glossary(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"segments":[{"id":1,"start_ms":0,"end_ms":5,"text_zh":"x"},{"id":2}],"translations":{"1":"X"}}')
+    rows = files.state_segments(files.read_states(spark, str(tmp_path)))
+    assert sorted((r.pos, r.en) for r in rows.collect()) == [(1, "X"), (2, None)]
+    assert files.complete_episodes(rows, ["path"]).count() == 0
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "g.json").write_text('{"characters":{"玄冥":"Xuanming"},"terms":{}}')
+    assert [tuple(r) for r in files.read_glossary(spark, str(tmp_path / "g"), "s").collect()] == [("s", "characters", "玄冥", "Xuanming")]
+    (tmp_path / "g" / "g.json").write_text('{"characters":{}}')
+    with pytest.raises(Exception, match="no section"):
+        files.read_glossary(spark, str(tmp_path / "g"), "s").collect()
