@@ -27,6 +27,8 @@ SLOTS = (
     r"\[\[[\p{L}_ ]{2,40}\]\]", r"%\([\p{L}_]{1,40}\)[sdif]", r"#\{[\p{L}_]{1,40}\}", r"(?<![\p{L}\p{N}\"'])\{[a-z_]{3,40}\}", r"<(?!/)(?!(?:font|span|ruby|center|small|strong|code)>)[a-z][a-z_]{3,40}>(?![^\n]{0,200}</)",
     r"\[(?:[A-Z]{2,20} )+[A-Z]{2,20}\]", r"\[(?i:insert|enter|add|your|fill in|replace)[^\]\n]{1,60}\]", r"【(?:此处|此處|请|待|在此|填写|插入)[^】\n]{0,30}】", r"[（(](?:待补充|待填|待定|此处|请填写|插入)[^）)\n]{0,30}[）)]", r"\bX{4,}\b", r"\b(?:TBD|TODO|FIXME)\b",
 )
+#: Something that each of these shapes holds.
+SLOT_BEGINS = r"[{<%@#【（(\[]|__|XXXX|TBD|TODO|FIXME"
 #: Labelled exemplars. SLOT stands for any placeholder.
 EXEMPLARS: tuple[tuple[str, str], ...] = tuple(
     [("placeholder", SLOT), ("placeholder", "undefined undefined undefined"), ("placeholder", "null null null"), ("placeholder", "NaN NaN NaN"), ("placeholder", "[object Object]"), ("placeholder", "your text here"), ("placeholder", "text goes here"), ("placeholder", "insert title here"), ("placeholder", "sample text sample text")]
@@ -62,8 +64,8 @@ COVERED, CONTAINED, MENTIONED = 0.45, 0.7, 0.5
 
 
 def slotted(text: Column) -> Column:
-    """The text with every unfilled place as the one term SLOT."""
-    return F.regexp_replace(text, "|".join(SLOTS), f" {SLOT} ")
+    """The text with every unfilled place as the one term SLOT. Most texts hold nothing with which one can begin."""
+    return F.when(text.rlike(SLOT_BEGINS), F.regexp_replace(text, "|".join(SLOTS), f" {SLOT} ")).otherwise(text)
 
 
 def terms(passage: Column) -> Column:
