@@ -14,17 +14,18 @@ from subtide.config import DEFAULT, EngineConfig
 from subtide.functions import text as X
 from subtide.functions import words as W
 from subtide.functions.columns import big, let
+from subtide.functions.text import LINE_END_AVOID, LINE_START_GOOD, NBSP  # by name: Arrow functions are shipped by value
 from subtide.operators import ordered, timeline
 
 
 def _penalty(left: str, right: str) -> int:
     bare = left.lower().strip('".,;:!?')
-    if bare in X.LINE_END_AVOID or bare.endswith("'s"):
+    if bare in LINE_END_AVOID or bare.endswith("'s"):
         return 150
     for marks, value in ((".!?", -20), (",;:", -10)):
         if left[-1:] and left[-1] in marks:
             return value
-    if right.lower() in X.LINE_START_GOOD:
+    if right.lower() in LINE_START_GOOD:
         return -8
     return 100 if left.lower() == "so" else 0
 
@@ -47,7 +48,7 @@ class _Lines:
     def wrapped(self, a: int, z: int) -> str | None:
         limit, soft = self.config.line_limit, self.config.line_soft
         if self.length(a, z) <= limit:
-            return self.text(a, z).replace(X.NBSP, " ")
+            return self.text(a, z).replace(NBSP, " ")
         best: tuple | None = None
         for cut in range(a + 1, z):
             n, m = self.length(a, cut), self.length(cut, z)
@@ -56,7 +57,7 @@ class _Lines:
             score = abs(n - m) + (100 if min(n, m) < self.config.line_short else 0) + max(0, n - soft) + max(0, m - soft) + _penalty(self.words[cut - 1], self.words[cut])
             option = (score, self.text(a, cut), self.text(cut, z))
             best = option if best is None or option < best else best
-        return None if best is None else f"{best[1]}\n{best[2]}".replace(X.NBSP, " ")
+        return None if best is None else f"{best[1]}\n{best[2]}".replace(NBSP, " ")
 
 
 def split_words(words: Sequence[str], duration_ms: int, config: EngineConfig = DEFAULT) -> list[str]:
@@ -84,7 +85,7 @@ def split_words(words: Sequence[str], duration_ms: int, config: EngineConfig = D
             cost = abs(length - target) + mark + (0 if z == n else _penalty(words[z - 1], words[z]))
             best = min(best, (cost, z - at, shown)) if best is not None else (cost, z - at, shown)
         if best is None:
-            best = (0, 1, words[at].replace(X.NBSP, " "))
+            best = (0, 1, words[at].replace(NBSP, " "))
         parts.append(best[2])
         at += best[1]
     return parts
@@ -98,9 +99,13 @@ def _splitter(config: EngineConfig):
     return split
 
 
-def split_text(text: Column, duration_ms: Column, names: Column | None = None, config: EngineConfig = DEFAULT) -> Column:
-    """array<string>: greedy over whole words, which a loop over what is left of each text decides; hence an Arrow UDF."""
-    return _splitter(config)(X.layout_words(text, names), duration_ms)
+def split_text(text: Column, duration_ms: Column, names: Column | None = None, config: EngineConfig = DEFAULT, once: bool = False) -> Column:
+    """array<string>: greedy over whole words, which a loop over what is left of each text decides; hence an Arrow UDF.
+
+    ``once`` keeps the optimiser from copying the call into expressions that use its result.
+    """
+    split = _splitter(config)
+    return (split.asNondeterministic() if once else split)(X.layout_words(text, names), duration_ms)
 
 
 def names_of(glossary: DataFrame) -> DataFrame:
@@ -142,7 +147,7 @@ def speech_times(segments: DataFrame, config: EngineConfig = DEFAULT) -> DataFra
         "leading_trim": F.col("__span.start_ms") - F.col("start_ms") > config.trim_report_ms, "trailing_trim": F.col("end_ms") - F.col("__span.end_ms") > config.trim_report_ms,
     })
     begin = F.greatest(F.lit(0), F.col("__s") + start_pad)
-    next_begin = F.greatest(F.lit(0), F.col("__next") + start_pad)
+    next_begin = F.when(F.col("__next").isNotNull(), F.greatest(F.lit(0), F.col("__next") + start_pad))  # null after the last
     gap = F.when(next_begin - F.col("__e") >= config.min_gap_ms + 50, config.min_gap_ms).otherwise(0)
     end = F.least(F.col("__e") + end_pad, next_begin - gap)
     end = F.when(split | bare, F.least(end, begin + config.max_duration_ms)).otherwise(end)
@@ -163,7 +168,7 @@ def refine(segments: DataFrame, glossary: DataFrame | None = None, config: Engin
         timed = timed.withColumn("names", F.lit(None).cast("array<string>"))
     duration = F.col("cue_end_ms") - F.col("cue_start_ms")
     flags = ["anomaly", "island_split", "fallback_capped", "wordless", "leading_trim", "trailing_trim"]
-    parts = timed.select("series", "episode", "pos", "id", "cue_start_ms", "cue_end_ms", X.visible(F.col("en")).alias("__v"), split_text(F.col("en"), duration, F.col("names"), config).alias("parts"), *flags)
+    parts = timed.select("series", "episode", "pos", "id", "cue_start_ms", "cue_end_ms", X.visible(F.col("en")).alias("__v"), split_text(F.col("en"), duration, F.col("names"), config, once=True).alias("parts"), *flags)
     k = F.size("parts")
     room = F.greatest(F.lit(1), duration - config.min_gap_ms * (k - 1))
     parts = parts.withColumn("__gap", F.when(F.col("__v") * 1000 <= config.gap_cps * room, config.min_gap_ms).otherwise(0)).withColumn("__room", duration - F.col("__gap") * (k - 1)).filter("__room > 0")

@@ -225,7 +225,7 @@ SELECT DISTINCT cue_id, number FROM (SELECT cue_id, en, unnest({_NUM.format('tex
     "refine_single": f"""WITH {LATEST},
 v AS (SELECT seg_id, series, episode, start_ms AS s, end_ms AS e, {_V.format('en')} AS vis, lead(start_ms) OVER (PARTITION BY series, episode ORDER BY pos, id) AS nxt FROM seg WHERE trim(en) <> '' AND end_ms > start_ms),
 t AS (SELECT *, e - s > 6001 AS long, CASE WHEN e - s > 6001 THEN least(s + least(6000, greatest(1000, CAST(ceil(vis * 1000 / 15) AS BIGINT))), nxt - 80) ELSE e END AS te FROM v),
-u AS (SELECT *, greatest(0, s - 50) AS b, greatest(0, nxt - 50) AS nb FROM t),
+u AS (SELECT *, greatest(0, s - 50) AS b, CASE WHEN nxt IS NOT NULL THEN greatest(0, nxt - 50) END AS nb FROM t),
 x AS (SELECT *, least(te + 100, nb - CASE WHEN nb - te >= 130 THEN 80 ELSE 0 END) AS ce FROM u),
 y AS (SELECT seg_id, b, CASE WHEN long THEN least(ce, b + 6000) ELSE ce END AS ce FROM x)
 SELECT seg_id, b AS cue_start_ms, ce AS cue_end_ms FROM y WHERE ce > b""",
