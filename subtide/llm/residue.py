@@ -36,8 +36,9 @@ EXEMPLARS: tuple[tuple[str, str], ...] = tuple(
         f"the macro fills a {SLOT} field on its own", f"the export fills the {SLOT} field before release", f"the tag {SLOT} moves a line", f"the placeholder {SLOT} means", f"a variable called {SLOT}", f"the template uses {SLOT} as a variable", f"write {SLOT} in the script where the name goes", f"标签 {SLOT} 的意思是", f"占位符 {SLOT} 会自动替换", f"变量 {SLOT} 由脚本填入", f"the syntax {SLOT} is replaced by the exporter",
     )]
     + [("filler", t) for t in (
-        "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum",
-        "lorem ipsum ut labora incidunt consectum adipis elitor tempora quis nulla magna vel eosdem temporam nisi blandit aequor minim nostrum exerci quam rerum doloris dolorem sit veniam fugit pariatur sint",
+        "Lorem ipsum dolor sit amet", "consectetur adipiscing elit", "sed do eiusmod tempor incididunt", "ut labore et dolore magna aliqua", "ut enim ad minim veniam", "quis nostrud exercitation ullamco laboris", "nisi ut aliquip ex ea commodo consequat", "duis aute irure dolor in reprehenderit",
+        "in voluptate velit esse cillum dolore", "eu fugiat nulla pariatur", "excepteur sint occaecat cupidatat non proident", "sunt in culpa qui officia deserunt", "mollit anim id est laborum",
+        "lorem ipsum", "ut labora incidunt", "consectum adipis elitor", "tempora quis nulla magna", "vel eosdem temporam", "nisi blandit aequor", "minim nostrum exerci", "quam rerum doloris", "dolorem sit veniam", "fugit pariatur sint",
         "示例段落示例段落", "正式上线前删除", "文字文字文字文字", "此处为占位文字", "请替换为正文", "这里是示例文字", "测试文本测试文本", "此处填写内容", "内容待补充", "the quick brown fox jumps over the lazy dog", "this is placeholder text", "this is sample text", "replace this text before publishing", "asdf asdf asdf", "test test test",
     )]
     + [("error_page", t) for t in (
