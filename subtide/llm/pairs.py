@@ -71,7 +71,6 @@ def features(df: DataFrame, ident: str, source: str, answer: str) -> DataFrame:
     out = df.select(F.col(ident).alias("id"), F.trim(src).alias("src"), F.trim(en).alias("en"))
     out = out.withColumns({"src_bare": bare(F.col("src")), "en_bare": bare(F.col("en"))})
     shouted = (F.col("en") == F.upper("en")) & (F.length("en_bare") > 12)
-    lowered = F.filter(_words(F.col("en")), lambda w: F.lit(True))
     return out.withColumns({
         "han": _count(F.col("en_bare"), r"[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]"),
         "latin": _count(F.col("en_bare"), r"\p{IsLatin}"),
@@ -80,7 +79,7 @@ def features(df: DataFrame, ident: str, source: str, answer: str) -> DataFrame:
         "src_stopped": F.col("src").rlike(STOP),
         "src_open": F.col("src").rlike(r"(…|—|——|\.\.\.|-)[”’」』]*$"),
         "en_open": F.col("en").rlike("(…|—|\\.\\.\\.|--|-)[\"'”’)]*$"),
-        "words": F.transform(lowered, lambda w: F.when(shouted, F.lower(w)).otherwise(w)),
+        "words": _words(F.when(shouted, F.lower("en")).otherwise(F.col("en"))),
     })
 
 
@@ -140,7 +139,7 @@ def _lexicon(rows: DataFrame) -> DataFrame:
     words = F.array_distinct(F.transform("words", lambda w: F.lower(w)))
     only = [w for w in STRONG if w not in SHARED]
     strong = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in only])))
-    exploded = rows.filter("latin > 0").select(F.explode(words).alias("word"), strong.alias("strong"))
+    exploded = rows.filter("latin > 0").select(words.alias("w"), strong.alias("strong")).select(F.explode("w").alias("word"), "strong")
     own = F.when(F.col("word").isin(*only), 1).otherwise(0)
     return exploded.groupBy("word").agg(F.avg(F.when(F.col("strong") - own >= 1, 1.0).otherwise(0.0)).alias("english"))
 
