@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from subtide.llm import leaks, lookalike, packing, pairs, pieces, residue, runs
 from subtide.llm import repetition as rep
+from subtide.plans.periods import LATEST
 from subtide.sources import tables
 
 
@@ -102,5 +103,27 @@ def queries() -> dict:
     return {f.__name__: f for f in (p2_found, p2_defects, p3_found, p3_measures, p4_found, p4_forms, p5_found, p5_events, p6_found, p6_pieces, p7_containers, p8_found, p8_spans, p9_found, p9_kept)}
 
 
+def _one_apart(a: str, b: str) -> str:
+    """SQL: equal and not empty, or one character inserted, removed or replaced while both have at least eight."""
+    at = f"range(0, greatest(length({a}), length({b})) + 1)"
+    replaced = f"length({a}) = length({b}) AND len(list_filter({at}, lambda i: left({a}, i) = left({b}, i) AND substr({a}, i + 2) = substr({b}, i + 2))) > 0"
+    longer = f"length({a}) = length({b}) + 1 AND len(list_filter({at}, lambda i: left({a}, i) = left({b}, i) AND substr({a}, i + 2) = substr({b}, i + 1))) > 0"
+    shorter = f"length({b}) = length({a}) + 1 AND len(list_filter({at}, lambda i: left({a}, i) = left({b}, i) AND substr({a}, i + 1) = substr({b}, i + 2))) > 0"
+    return f"(({a} <> '' AND {a} = {b}) OR (length({a}) >= 8 AND length({b}) >= 8 AND (({replaced}) OR ({longer}) OR ({shorter}))))"
+
+
+_PLAIN = r"lower(regexp_replace({0}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
+_SHORT = r"trim(regexp_replace({0}, '[ \t\n\r\x{{0B}}\x{{0C}}\x{{A0}}\x{{202F}}]+', ' ', 'g'))"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": f"""WITH {LATEST},
+r AS (SELECT 'segments' AS src, series, episode, pos AS o, seg_id AS id, start_ms AS s, end_ms AS e, coalesce({_PLAIN.format("text_zh")}, '') AS p FROM seg WHERE end_ms > start_ms
+  UNION ALL SELECT 'cues', series, episode, cue.id, cue_id, start_ms, end_ms, coalesce({_PLAIN.format("text")}, '') FROM cue WHERE end_ms > start_ms),
+n AS (SELECT *, lag(e) OVER w AS pe, lag(p) OVER w AS pp FROM r WINDOW w AS (PARTITION BY src, series, episode ORDER BY o, id)),
+b AS (SELECT *, coalesce(s <= pe + 3000 AND {_one_apart("p", "pp")}, false) AS goes_on FROM n),
+l AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY src, series, episode ORDER BY o, id ROWS UNBOUNDED PRECEDING) AS run FROM b)
+SELECT src, arg_min(id, (o, id)) AS first_id, arg_max(id, (o, id)) AS last_id FROM l GROUP BY src, series, episode, run HAVING count(*) > 1""",
+        "p6_found": f"WITH {LATEST} SELECT 'segments' AS src, seg_id AS row_id FROM seg WHERE length({_SHORT.format('en')}) > 84 UNION ALL SELECT 'cues', cue_id FROM cue WHERE length({_SHORT.format('text')}) > 84",
+    }
