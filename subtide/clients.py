@@ -23,6 +23,9 @@ class Translator(Protocol):
 
 
 class Recogniser(Protocol):
+    def recognise(self, audio: bytes, task: str) -> list[dict]:
+        """Segments of the whole audio: start_ms, end_ms, text_zh, words. task: 'transcribe' or 'translate'."""
+
     def window(self, audio: bytes, start_ms: int, end_ms: int) -> dict | None:
         """A segment with times from the start of the audio, or None where nothing is heard."""
 
@@ -130,3 +133,70 @@ def hear_with(audio: DataFrame, make: Callable[[], VoiceActivity]) -> DataFrame:
             yield pd.DataFrame(rows, columns=["series", "episode", "start_ms", "end_ms"])
 
     return audio.select("series", "episode", "audio").mapInPandas(run, "series string, episode string, start_ms bigint, end_ms bigint")
+
+
+_WORDS = "array<struct<start_ms:bigint,end_ms:bigint,word:string>>"
+
+
+def decode_with(files: DataFrame, decode: Callable[[str], bytes]) -> DataFrame:
+    """series, episode, audio (binary) of (series, episode, path): the decoder runs where the file is read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"series": batch["series"], "episode": batch["episode"], "audio": [decode(p) for p in batch["path"]]})
+
+    return files.select("series", "episode", "path").mapInPandas(run, "series string, episode string, audio binary")
+
+
+def recognise_with(audio: DataFrame, make: Callable[[], Recogniser], task: str = "transcribe") -> DataFrame:
+    """series, episode, pos, start_ms, end_ms, text_zh, words; the model is loaded once per task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = make()
+        for batch in batches:
+            rows = [
+                (s, e, i + 1, x["start_ms"], x["end_ms"], x.get("text_zh"), x.get("words"))
+                for s, e, wave in zip(batch["series"], batch["episode"], batch["audio"], strict=True)
+                for i, x in enumerate(client.recognise(wave, task))
+            ]
+            yield pd.DataFrame(rows, columns=["series", "episode", "pos", "start_ms", "end_ms", "text_zh", "words"])
+
+    return audio.select("series", "episode", "audio").mapInPandas(run, f"series string, episode string, pos int, start_ms bigint, end_ms bigint, text_zh string, words {_WORDS}")
+
+
+def transcribe_with(windows: DataFrame, audio: DataFrame, make: Callable[[], Recogniser]) -> DataFrame:
+    """``windows`` with text_zh and words of what the recogniser hears in each, null where it hears nothing.
+
+    The client's times count from the window's start; a segment without words becomes one word.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = make()
+        for batch in batches:
+            texts, words = [], []
+            for wave, start, end in zip(batch["audio"], batch["start_ms"], batch["end_ms"], strict=True):
+                heard = client.window(wave, int(start), int(end))
+                text = ((heard or {}).get("text_zh") or "").strip()
+                if not text:
+                    texts.append(None)
+                    words.append(None)
+                    continue
+                said = heard.get("words") or [{"start_ms": heard["start_ms"], "end_ms": heard["end_ms"], "word": text}]
+                texts.append(text)
+                words.append([{"start_ms": w["start_ms"] + int(start), "end_ms": w["end_ms"] + int(start), "word": w["word"]} for w in said])
+            yield batch.drop(columns="audio").assign(text_zh=texts, words=words)
+
+    joined = windows.select("series", "episode", "start_ms", "end_ms").join(audio.select("series", "episode", "audio"), ["series", "episode"])
+    return joined.mapInPandas(run, f"series string, episode string, start_ms bigint, end_ms bigint, text_zh string, words {_WORDS}")
+
+
+STYLES = {
+    "subtitle": "Prefer short spoken lines that can be read at a glance.",
+    "natural": "Prefer what an English speaker would say over the order of the original.",
+    "literal": "Stay close to the wording and the images of the original.",
+}
+
+
+def prompt(style: str, base: str = "Translate the dialogue of a Mandarin drama into English.") -> str:
+    """The instruction of a request; it is a part of the memory's keys, so its wording is the version."""
+    return f"{base} {STYLES[style]} Use the glossary's renderings exactly. Answer with JSON only: one object whose key is translations, a list of id and en for each target, in order."
