@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from subtide.operators import layout
 from subtide.operators import memory as M
-from subtide.session import local_session
+from subtide.session import durable, local_session
 from subtide.sources import files, sinks
 
 
@@ -54,7 +54,7 @@ def refine(spark: SparkSession, states: str, glossary: str, output: str, series:
     """Lay out the complete episodes of a folder of states anew; writes SRT texts and reports, and returns the reports."""
     rows = files.complete_episodes(files.state_segments(files.read_states(spark, states)), ["path"])
     rows = rows.select(F.lit(series).alias("series"), files.stem(F.col("path")).alias("episode"), "pos", "id", "start_ms", "end_ms", "words", "en")
-    cues = layout.refine(rows, files.read_glossary(spark, glossary, series))
+    cues = durable(layout.refine(rows, files.read_glossary(spark, glossary, series)))
     reports = layout.qc_report(cues).join(layout.timing_drift(cues, rows).withColumnRenamed("ok", "timing_drift_check"), ["series", "episode"])
     sinks.write_srt(cues, f"{output}/srt", ["series", "episode"], "id")
     sinks.write_reports(reports, f"{output}/qc", ["series", "episode"])

@@ -12,6 +12,7 @@ from subtide.functions import text as X
 from subtide.functions import words as W
 from subtide.functions.columns import let
 from subtide.operators import folds, timeline
+from subtide.session import durable
 
 KEYS = ["series", "episode"]
 
@@ -61,13 +62,14 @@ def audit(segments: DataFrame, speech: DataFrame, transcribe: Callable[[DataFram
     zero = F.lit(0).cast("bigint")
     if transcribe is None:
         return flagged, base.select(F.lit(config.audit_version).alias("version"), F.lit(False).alias("enabled"), *KEYS, "original", zero.alias("windows"), zero.alias("recovered"), zero.alias("merged"), zero.alias("rejected"), "suspects", "large_gaps", "suspect_ids")
-    windows = recovery_windows(speech, original, config)
-    heard = transcribe(windows.select(*KEYS, "start_ms", "end_ms")).filter(F.trim(F.coalesce("text_zh", F.lit(""))) != "")
+    # Cut after each step: the windows and what was heard are asked for several times, and a recogniser is paid once.
+    windows = durable(recovery_windows(speech, original, config))
+    heard = durable(transcribe(windows.select(*KEYS, "start_ms", "end_ms")).filter(F.trim(F.coalesce("text_zh", F.lit(""))) != ""))
     near = timeline.range_neighbours(heard.select(*KEYS, "start_ms", "end_ms"), original.select(*KEYS, "start_ms", "end_ms", "text_zh"), KEYS, config.neighbour_ms)
     texts = near.groupBy(*KEYS, "start_ms", "end_ms").agg(F.collect_set("row_text_zh").alias("near"))  # of one window
     judged = heard.join(texts, [*KEYS, "start_ms", "end_ms"], "left").withColumn("verdict", recovery_verdict(F.col("text_zh"), F.col("near")))
     accepted = judged.filter("verdict = 'ok'")
-    merged = folds.merge_recovered(original, accepted)
+    merged = durable(folds.merge_recovered(original, durable(accepted)))
     out = flag_suspects(merged, config)
     counts = windows.groupBy(*KEYS).agg(F.count("*").alias("windows"))
     verdicts = judged.groupBy(*KEYS).agg(F.count_if(F.col("verdict") == "ok").alias("recovered"), F.count_if(F.col("verdict") != "ok").alias("rejected"))

@@ -10,6 +10,7 @@ from subtide.functions.columns import big
 from subtide.operators import condense, contracts, layout
 from subtide.operators import memory as M
 from subtide.plans.periods import LATEST
+from subtide.session import durable
 from subtide.sources import files, sinks, tables
 
 KEYS = ["series", "episode"]
@@ -112,7 +113,7 @@ def refine_single(spark: SparkSession, folder: str) -> DataFrame:
 
 def qc_report(spark: SparkSession, folder: str) -> DataFrame:
     """W19, A1, A2, A11, A12 as one row an episode."""
-    return layout.qc_report(_refined(spark, folder))
+    return layout.qc_report(durable(_refined(spark, folder)))
 
 
 def timing_drift(spark: SparkSession, folder: str) -> DataFrame:

@@ -83,7 +83,7 @@ def parse_srt(texts: DataFrame, keys: list[str], text: str = "text", strict: boo
 
 
 def read_srt(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.srt").text(folder)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.srt").text(folder, wholetext=True)
     return parse_srt(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")), ["path"], strict=strict)
 
 
