@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subtide.functions.columns import strict_or
+from subtide.session import durable
 
 ORDER = ("empty", "refusal", "copy", "truncated", "wrong_language")
 
@@ -170,6 +171,7 @@ def broken_pairs(df: DataFrame, ident: str, source: str, answer: str) -> DataFra
         "inner": F.size(inner),
         "known": known,
     })
+    rows = durable(rows)  # what the rules look at is worked out once; five steps below use it
     doubtful = (F.col("latin") * 2 >= F.col("letters")) & (F.size("words") >= 2) & (F.col("inner") >= 1) & (F.col("known") * 2 < F.col("inner"))
     lexicon = _lexicon(rows)
     asked = rows.filter(doubtful).select("id", F.explode(F.transform(inner, lambda w: F.lower(w))).alias("word"))
