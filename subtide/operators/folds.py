@@ -1,8 +1,8 @@
 """Order-dependent folds over the rows of one episode: each step depends on the row kept before it.
 
 An episode is an ordered list of recognised rows; it is the unit in which the fold has a meaning. Long episodes are cut
-first, without changing the result, wherever the fold is known to start afresh: a row that begins more than the merge
-gap after everything before it can't be joined to it. The folds then run over those stretches in Arrow groups.
+first, without changing the result, wherever the fold is known to start afresh; the folds run over what is left in Arrow
+groups, and rows that stand alone never reach Python.
 """
 
 from __future__ import annotations
@@ -58,14 +58,15 @@ def cleanup(segments: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     rows = segments.select("series", "episode", "pos", F.greatest(F.lit(0), F.col("start_ms")).alias("start_ms"), "end_ms", F.trim("text_zh").alias("text_zh"), W.present(F.col("words")).alias("words"))
     rows = rows.filter("text_zh <> '' and start_ms is not null and end_ms > start_ms")
     order = ["pos", "start_ms", "end_ms"]
-    near = ordered.neighbours(rows, ["series", "episode"], order, ["start_ms", "end_ms", "text_zh"])
+    near = ordered.neighbours(rows, ["series", "episode"], order, ["text_zh"])
 
-    def joins(text, gap):
-        """A row can only join the one before it if that one ends in a fragment mark, or if no time lies between."""
-        return (text.rlike("[，、,]$") & (gap <= config.merge_gap_ms)) | (gap <= 0)
+    def joins(before, text):
+        """A row can only join what was kept before it if the row before ends in a fragment mark, or if its own text ends
+        with that row's: the kept text is the one before, or a joined text that ends with it."""
+        return F.coalesce(before.rlike("[，、,]$") | text.endswith(before), F.lit(False))
 
-    here = joins(F.col("before.text_zh"), F.col("start_ms") - F.col("before.end_ms"))
-    near = near.withColumn("joined", F.coalesce(joins(F.col("text_zh"), F.col("after.start_ms") - F.col("end_ms")), F.lit(False)) | F.coalesce(here, F.lit(False)))
+    here = joins(F.col("before.text_zh"), F.col("text_zh"))
+    near = near.withColumn("joined", here | joins(F.col("text_zh"), F.col("after.text_zh")))
     same = ordered.plain(ordered.labels(near, order, F.col("before").isNull() | ~here))
     columns = ["series", "episode", "label", "n", "start_ms", "end_ms", "text_zh", "words"]
     done = same.select("series", "episode", "label", "position", "start_ms", "end_ms", "text_zh", "words", "joined")

@@ -84,10 +84,10 @@ def test_cues_never_overlap_and_count_from_one(spark):
 
 
 def test_cleanup_merges_and_keeps(spark):
-    rows = [(0, 1000, "你好"), (900, 1200, "你好"), (3000, 4000, "你好"), (3900, 5000, "走"), (6000, 7000, "来，"), (7100, 8000, "快"), (9000, 9000, "空"), (9100, 9500, " ")]
+    rows = [(0, 1000, "你好"), (900, 1200, "你好"), (3000, 4000, "你好"), (3900, 5000, "走"), (6000, 7000, "来，"), (7100, 8000, "快"), (9000, 9000, "空"), (9100, 9500, " "), (10_000, 15_000, "停"), (11_000, 12_000, "停"), (13_000, 14_000, "停")]
     df = spark.createDataFrame([("s", "1", i, i, a, z, t, None, None) for i, (a, z, t) in enumerate(rows)], SEG)
     got = [(r.id, r.start_ms, r.end_ms, r.text_zh) for r in folds.cleanup(df).orderBy("id").collect()]
-    assert got == [(1, 0, 1200, "你好"), (2, 3000, 4000, "你好"), (3, 3900, 5000, "走"), (4, 6000, 8000, "来，快")]
+    assert got == [(1, 0, 1200, "你好"), (2, 3000, 4000, "你好"), (3, 3900, 5000, "走"), (4, 6000, 8000, "来，快"), (5, 10_000, 15_000, "停")]
 
 
 def test_recovered_rows_are_clipped_between_neighbours(spark):
