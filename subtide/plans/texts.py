@@ -79,9 +79,10 @@ def wrap_two_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def legacy_format(spark: SparkSession, folder: str) -> DataFrame:
-    """F9 without names."""
-    rows = tables.segments(spark, folder, "en").filter("en is not null and length(en) <= 120")
-    return rows.select("seg_id", X.balance_lines(F.col("en")).alias("lines"))
+    """every translation, with the character names of the series' glossary kept together."""
+    characters = layout.names_of(tables.table(spark, folder, "glossary").filter("section = 'characters'"))
+    rows = tables.segments(spark, folder, "series", "en").filter("en is not null").join(characters, "series", "left")
+    return rows.select("seg_id", X.balance_lines(F.col("en"), F.coalesce("names", F.array().cast("array<string>"))).alias("lines"))
 
 
 def layout_tokens(spark: SparkSession, folder: str) -> DataFrame:
