@@ -128,6 +128,14 @@ def _endings(rows: DataFrame) -> DataFrame:
     return pairs.filter("word <> ''").groupBy("zh", "word").agg(F.count("*").alias("n"))
 
 
+def _caption_words(rows: DataFrame) -> DataFrame:
+    """zh2, caption: the last word that most answers without a stop share whose sources end alike and lack theirs too."""
+    captions = rows.filter("not stopped and not src_stopped and not src_open and han = 0 and latin * 2 > letters")
+    counted = captions.select(_zh_end(2).alias("zh2"), _last_word(F.col("words")).alias("word")).groupBy("zh2", "word").agg(F.count("*").alias("n"))
+    most = counted.groupBy("zh2").agg(F.max(F.struct("n", "word")).alias("m"), F.sum("n").alias("of"))
+    return most.filter(F.col("m.n") * 2 > F.col("of")).select("zh2", F.col("m.word").alias("caption"))
+
+
 def usual_length(rows: DataFrame) -> float:
     """The median number of letters of an answer per character of its source, one number over all rows."""
     usable = rows.filter("stopped and han = 0 and latin * 2 > letters and length(src_bare) >= 6")
@@ -178,25 +186,32 @@ def broken_pairs(df: DataFrame, ident: str, source: str, answer: str) -> DataFra
     answered = asked.join(lexicon, "word", "left").groupBy("id").agg(F.avg(F.when(F.col("english") >= 0.3, 1.0).when(F.col("word").isin(*COMMON), 1.0).otherwise(0.0)).alias("sure"), F.count("*").alias("n"))
     foreign = answered.select("id", ((F.col("sure") < 0.35) & (F.col("n") >= 2)).alias("foreign_words"), ((F.col("sure") == 0) & (F.col("n") == 1)).alias("foreign_word"))
 
-    # Endings: answers without a stop, and very short ones, ask how sources that end like theirs are answered.
+    # Endings: answers without a stop, and very short ones, ask how sources that end like theirs are answered. A source
+    # that lacks its stop, or ends in a comma, is judged as well; only one that is left open itself spares its answer.
+    # Captions ("The End", "Chapter 3: Xuanming") and their sources have no stop: they end as others of their kind.
     usual = usual_length(rows)
     ratio = F.length("en_bare") / F.when(F.length("src_bare") >= 6, F.length("src_bare"))
-    asks = ~empty & (~F.col("stopped") | F.coalesce(ratio < usual * 0.7, F.lit(False))) & (F.col("han") == 0) & (F.col("latin") * 2 > F.col("letters")) & F.col("src_stopped") & F.col("en").contains(" ")
+    judged = F.col("src_stopped") | (~F.col("stopped") & ~F.col("src_open"))
+    asks = ~empty & (~F.col("stopped") | F.coalesce(ratio < usual * 0.7, F.lit(False))) & (F.col("han") == 0) & (F.col("latin") * 2 > F.col("letters")) & judged & F.col("en").contains(" ")
+    whole = (F.length("src_bare") < 6) & (F.length("en_bare") >= F.length("src_bare") * usual * 0.8)
+    heading = F.col("src").rlike(r"[\s\d:：]") & ~F.col("src").rlike("[,，。、;；!！?？…]") & (_last_word(F.col("words")) == "<Name>")
+    titled = ~F.col("src_stopped") & (whole | heading)
     endings = _endings(rows)
-    end = rows.filter(asks & ~F.col("unclosed")).select("id", _last_word(F.col("words")).alias("word"), F.coalesce(ratio < usual * 0.8, F.lit(False)).alias("brief"), *[_zh_end(n).alias(f"zh{n}") for n in (2, 1)], F.lit("").alias("zh0"))
+    end = rows.filter(asks & ~F.col("unclosed")).select("id", _last_word(F.col("words")).alias("word"), F.coalesce(ratio < usual * 0.8, F.lit(False)).alias("brief"), titled.alias("titled"), *[_zh_end(n).alias(f"zh{n}") for n in (2, 1)], F.lit("").alias("zh0"))
     totals = endings.groupBy("zh").agg(F.sum("n").alias("of"))
     for n in (2, 1, 0):
         end = end.join(endings.select(F.col("zh").alias(f"zh{n}"), "word", F.col("n").alias(f"n{n}")), [f"zh{n}", "word"], "left")
         if n == 2:
             end = end.join(totals.select(F.col("zh").alias(f"zh{n}"), F.col("of").alias(f"of{n}")), f"zh{n}", "left")
     unseen = F.when(F.col("of2") >= 8, F.col("n2").isNull()).otherwise(F.col("n0").isNull() | (F.col("n1").isNull() & F.col("brief")))
-    end = end.select("id", unseen.alias("unseen"))
+    end = end.join(_caption_words(rows), "zh2", "left")
+    end = end.select("id", (unseen & ~F.coalesce(F.col("titled") & (F.col("word") == F.col("caption")), F.lit(False))).alias("unseen"))
 
     rows = rows.join(foreign, "id", "left").join(end, "id", "left")
     last = F.lower(F.element_at("words", -1))
     short = F.coalesce(ratio < usual * 0.45, F.lit(False)) & (F.col("latin") * 2 > F.col("letters")) & (F.col("han") == 0)
     excused = F.col("src_open") & (F.col("en_open") | (F.length("src_bare") < 4))
-    dangling = ~F.col("stopped") & (F.size("words") >= 2) & last.isin(*DANGLING) & F.col("src_stopped") & F.coalesce(F.col("unseen"), F.lit(True))
+    dangling = ~F.col("stopped") & (F.size("words") >= 2) & last.isin(*DANGLING) & judged & F.coalesce(F.col("unseen"), F.lit(True))
     foreign_any = strict_or(F.col("foreign_words"), F.col("foreign_word") & F.col("en").rlike(r"[^\x00-\x7F]"))
     named = {
         "empty": F.col("empty"),

@@ -37,6 +37,14 @@ def test_every_defect_is_given_and_empty_tables_pass(spark):
     assert pairs.broken_pairs(long, "seq", "source", "en").count() >= 0
 
 
+def test_endings_are_judged_whatever_mark_the_source_ends_in(spark):
+    captions = [("完", "The End"), ("七年后", "Seven years later"), ("十二年后", "Twelve years later"), ("片尾曲：玉珏之歌", "Ending song: The Song of Yujue"), ("我在山门等了你三年", "I waited for you at the mountain gate for three years"), ("我在山门——", "I waited for you at the")]
+    cut = [("我在山门等了你三年", "I waited for you at the moun"), ("我在山门等了你三年，", "I waited for you at the mountain gate for"), ("那封信是玉简写的，我听见后山有笛声，", "That letter was written by Yujian, I can hear a flu"), ("七年后", "Seven years la")]
+    corpus = GOOD * 12 + captions * 3
+    found = {r.seq: r.defect for r in pairs.broken_pairs(frame(spark, corpus + cut), "seq", "source", "en").collect()}
+    assert found == {len(corpus) + i: "truncated" for i in range(len(cut))}
+
+
 RESIDUE = [
     "Dear {{ name | default('') }}, thank you for subtitling ${title}.", "Overall a fine hour %%SUMMARY%% with a good act.", "【此处填写本集标题】", "We can't tell {episode_no} about this.", "<title> 本集里玄冥回到集市", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "示例段落示例段落，正式上线前删除。",
     "404 Not Found\n\nThe page you requested could not be found on this server.", "抱歉，您访问的页面不存在或已被删除。", "A review of the show.\n\nAccess denied. You do not have permission to view this page.", "We use cookies. Accept all cookies to continue reading this page.", "Loading...", "Please enable JavaScript to view this page.",
