@@ -5,13 +5,13 @@ shuffled and memory doesn't grow with the corpus. Texts become sequences of word
 no test item holds can't take part in a match: each stretch of them becomes one separator, as does each document's
 end. The suffix array of that sequence gives the Burrows-Wheeler transform, a wavelet matrix over it answers ranks, and
 all phrases of all items are searched backwards at once, as arrays. Occurrences are located by walking to sampled
-suffix positions. Located phrases on one diagonal form exact runs; the phrases of an item in a document, with the few
-words around each, form the passage whose longest common subsequence with the item is measured. The parts of a document
-that belong to an item are merged into spans for removal.
+suffix positions. Located phrases on one diagonal form exact runs; where an item has a phrase in a document, its longest
+common subsequence with the whole document is measured. The parts of a document that belong to an item are merged into
+spans for removal.
 
-Phrases have three words: an item of which no more than a quarter is replaced keeps one of that length, so the search
-loses none. Items are the stated query set: they are taken in blocks of bounded size, and each block is searched in all
-documents.
+Phrases have three words: an item of nine words or more of which no more than a quarter is replaced keeps one of that
+length, so the search loses none of those. Items are the stated query set: they are taken in blocks of bounded size, and
+each block is searched in all documents.
 """
 
 from __future__ import annotations
@@ -204,13 +204,15 @@ def search_shard(ids: list[int], docs: list[list[str]], items: Items) -> list[tu
         target, need = items.seq[item], int(np.ceil(items.share * len(items.seq[item])))
         here = np.unique(at[a:z])
         base = start[d]
+        distinct, times = np.unique(target, return_counts=True)
+        wanted = np.zeros(len(index.count), bool)
+        wanted[distinct] = True
         share, rule = 0.0, "run" if longest[g] >= items.need[item] else ""
-        near = (here[:, None] + np.arange(-NEAR, PHRASE + NEAR)).ravel()
-        passage = np.unique(near[(near >= base) & (near < start[d + 1])])
-        if rule or len(passage) >= need:
-            body = seq[passage]
-            known = np.bincount(body, minlength=len(index.count))
-            if rule or np.minimum(known[np.unique(target)], np.bincount(target)[np.unique(target)]).sum() >= need:
+        body = seq[base : start[d + 1]]
+        body = body[wanted[body]]  # other words are in no common subsequence
+        if rule or len(body) >= need:
+            known = np.bincount(body, minlength=len(wanted))[distinct]
+            if rule or np.minimum(known, times).sum() >= need:
                 common = common_length(target, body)
                 share = common / len(target)
                 rule = rule or ("share" if common >= need else "")

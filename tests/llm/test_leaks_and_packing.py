@@ -113,3 +113,26 @@ def test_containers(spark):
     assert packing.pack(df.limit(0)).count() == 0
     apart = packing.pack(df.filter("doc_id >= 304"), strict=True).collect()
     assert len({x.container for x in apart}) == 6
+
+
+def test_share_counts_kept_words_away_from_phrases(spark):
+    """A quarter is replaced so that one phrase of three is left; the other kept words stand in ones and twos."""
+    items, docs = [], []
+    for i, n in enumerate((40, 60, 80, 120)):
+        words = [f"w{i}x{k}" for k in range(n)]
+        gone = set(range(5, n, 3)[: n // 4]) if n > 60 else set(range(3, n, 4))
+        text = [f"q{k}" if k in gone else w for k, w in enumerate(words)]
+        items.append((i, "en", " ".join(words)))
+        filler = " ".join(f"f{k}" for k in range(400))
+        docs += [(2 * i, f"{filler} {' '.join(text)} {filler}"), (2 * i + 1, f"{' '.join(text[: n // 2])} {filler} {' '.join(text[n // 2 :])}")]
+    pool = [f"v{k}" for k in range(60)]
+    kept = [w if k % 3 else "zz" for k, w in enumerate(pool)]  # a third replaced: under the share
+    items.append((9, "en", " ".join(pool)))
+    docs.append((99, " ".join(pool[:3] + kept[3:])))
+    df = spark.createDataFrame([(d, t, "s", 0, "x") for d, t in docs], DOC)
+    found = leaks.leaked(df, spark.createDataFrame(items, "item_id bigint, lang string, text string")).collect()
+    expected = {(i, d) for i, _, item in items for d, t in docs if lcs(item.split(), t.split()) >= 0.75 * len(item.split())}
+    assert len(expected) == 8 and {(x.item_id, x.doc_id) for x in found} == expected
+    text, item = dict(docs), {i: t for i, _, t in items}
+    for x in found:
+        assert x.share == lcs(item[x.item_id].split(), text[x.doc_id].split()) / len(item[x.item_id].split())
