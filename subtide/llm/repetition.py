@@ -3,8 +3,9 @@
 All measures are built-in expressions over the row itself: there is no shuffle and no user function. The share of
 repeated content is measured on the letters and digits alone. Windows of ``WINDOW`` characters that occur earlier with
 at most one inner character replaced, and without overlapping their earlier copy, are repeated; the share is the length of
-their union. Candidates come from sorting the row's ``SEED``-grams: two windows with one replacement share an exact
-half. The sort keeps the work near-linear in the length of a text, so long texts need no cut.
+their union. Two windows with one replacement share an exact half, so a row without a repeated ``SEED``-gram has no copies.
+In other rows each inner place is masked in turn and the windows sorted: every copy, and no other window, stands next to
+windows that are equal but for that place. The sort keeps the work near-linear in the length of a text, so long texts need no cut.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from subtide.functions.columns import let
 
-WINDOW, SEED, LINKS = 12, 6, 4
+WINDOW, SEED = 12, 6
 #: Function words, by which running text differs from lists and noise.
 STOP_WORDS = ("的", "了", "是", "在", "我", "你", "他", "不", "这", "那", "也", "就", "都", "和", "把", "吗", "the", "a", "of", "to", "and", "in", "is", "you", "i", "it", "that", "for", "on", "was")
 OPERATORS = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
@@ -49,34 +50,28 @@ def characters(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
-def repeated_length(plain_text: Column, window: int = WINDOW, seed: int = SEED, links: int = LINKS) -> Column:
+def repeated_length(plain_text: Column, window: int = WINDOW, seed: int = SEED) -> Column:
     """Characters of ``plain_text`` that lie in second or later copies; 0 where it is too short for two."""
 
-    def copies(chars: Column, size: Column, grams: Column) -> Column:
-        def shift(i: Column, j: Column) -> Column:
-            d = i - j
-            return F.when(d >= window, d).otherwise((F.ceil(F.lit(float(window)) / d) * d).cast("int"))
+    def grams(chars: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.array_join(F.slice(chars, i + 1, n), ""))
 
-        # A candidate (window start a, shift d) is one number, so that duplicates are found by hashing.
-        code = lambda a, d: F.when(a >= d, a.cast("bigint") * (1 << 31) + d)
-        start, shifted = (lambda x: F.shiftright(x, 31).cast("int")), (lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    def masked(windows: Column, k: Column) -> Column:
+        """Starts of the windows that occur before with at most their character ``k`` (from 0) replaced."""
+        keys = F.sort_array(F.transform(windows, lambda w, i: F.struct(F.concat(F.substr(w, F.lit(1), k), F.substr(w, k + 2, F.lit(window))).alias("g"), i.alias("i"))))
 
-        def candidates(k: Column) -> Column:
-            def link(back: Column) -> Column:
-                here, there = F.get(grams, k), F.get(grams, k - back)
-                d = shift(here["i"], there["i"])
-                return F.when((k >= back) & (here["g"] == there["g"]), F.array(code(here["i"], d), code(here["i"] - (window - seed), d)))
+        def later(s: Column) -> Column:
+            def is_copy(x: Column, m: Column) -> Column:
+                # At most window - 1 of the equal ones before it overlap it, so of ``window`` one doesn't, or none does.
+                earlier = lambda b: (F.get(s, m - b)["g"] == x["g"]) & (F.get(s, m - b)["i"] <= x["i"] - window)
+                return (m > 0) & (F.get(s, m - 1)["g"] == x["g"]) & F.exists(F.sequence(F.lit(1), F.lit(window)), earlier)
 
-            return F.array_compact(F.flatten(F.array_compact(F.transform(F.sequence(F.lit(1), F.lit(links)), link))))
+            return F.transform(F.filter(s, is_copy), lambda x: x["i"])
 
-        def is_copy(x: Column) -> Column:
-            a, b = F.slice(chars, start(x) + 1, window), F.slice(chars, start(x) - shifted(x) + 1, window)
-            differ = F.size(F.filter(F.zip_with(a, b, lambda p, q: p != q), lambda y: y))
-            edges = (F.get(a, F.lit(0)) == F.get(b, F.lit(0))) & (F.get(a, F.lit(window - 1)) == F.get(b, F.lit(window - 1)))
-            return F.when(start(x) + window <= size, edges & (differ <= 1)).otherwise(False)
+        return let(keys, later)
 
-        found = F.filter(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size(grams) - 1), candidates))), is_copy)
-        starts = F.array_sort(F.array_distinct(F.transform(found, lambda x: start(x))))
+    def copies(windows: Column) -> Column:
+        starts = F.sort_array(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(window - 2)), lambda k: masked(windows, k)))))
         # A window that starts less than a window after the one before adds only what that one leaves.
         union = lambda s: F.aggregate(
             F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.when(i == F.size(s) - 1, F.lit(window)).otherwise(F.least(F.lit(window), F.get(s, i + 1) - F.get(s, i)))), F.lit(0), lambda total, x: total + x
@@ -84,8 +79,8 @@ def repeated_length(plain_text: Column, window: int = WINDOW, seed: int = SEED,
         return let(starts, lambda s: F.when(F.size(s) > 0, union(s)).otherwise(0))
 
     def measured(chars: Column) -> Column:
-        grams = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(chars) - seed), lambda i: F.struct(F.array_join(F.slice(chars, i + 1, seed), "").alias("g"), i.alias("i"))))
-        return F.when(F.size(chars) >= 2 * window, let(grams, lambda g: copies(chars, F.size(chars), g))).otherwise(0)
+        repeats = let(grams(chars, seed), lambda g: F.size(F.array_distinct(g)) < F.size(g))
+        return F.when((F.size(chars) >= 2 * window) & repeats, let(grams(chars, window), copies)).otherwise(0)
 
     return F.when(F.length(plain_text) >= 2 * window, let(characters(plain_text), measured)).otherwise(0)
 

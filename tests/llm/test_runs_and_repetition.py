@@ -108,3 +108,26 @@ def test_long_texts_take_no_longer_than_their_length(spark):
     df = spark.createDataFrame([(1, long), (2, long[:20_000] * 2), (3, "哈" * 60_000)], "id int, text string")
     got = {x.id: x.repeated_share for x in rep.repetition(df, "id", "text").collect()}
     assert got[1] < 0.01 and abs(got[2] - 0.5) < 0.01 and got[3] > 0.99
+
+
+@pytest.mark.parametrize("copies", [10, 20, 40])
+def test_copies_that_differ_from_each_other_count(spark, copies):
+    """Every copy has one other character changed, so only the first is near to all of them."""
+    r = random.Random(copies)
+    texts = []
+    for size in (12, 12, 12, 14, 14, 20):
+        letters = [chr(0x4E00 + k) for k in r.sample(range(3000), size + 600)]
+        piece, other = "".join(letters[:size]), iter(letters[size:])
+        changed = lambda p: p[: (k := r.randrange(len(p)))] + next(other) + p[k + 1 :]
+        texts.append(piece + "".join("".join(next(other) for _ in range(3)) + changed(piece) for _ in range(copies - 1)))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {x.i: x.m.repeated_share for x in df.select("i", rep.measures(F.col("t")).alias("m")).collect()}
+    assert got == pytest.approx({i: brute_share(t) for i, t in enumerate(texts)})
+
+
+def test_shares_are_exact(spark):
+    r = random.Random(8)
+    texts = CASES + [t for t in SOUND if t] + ["".join(r.choice("甲乙") for _ in range(n)) for n in (23, 24, 25, 40, 80, 120)] + [("甲乙丙丁戊己庚"[:n] * 30)[:m] for n in range(1, 8) for m in (24, 25, 37, 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {x.i: x.m.repeated_share for x in df.select("i", rep.measures(F.col("t")).alias("m")).collect()}
+    assert got == pytest.approx({i: brute_share(t) for i, t in enumerate(texts)})
