@@ -73,8 +73,8 @@ def entity_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def wrap_two_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """F6, F7, O4 over the words of each translation that fits two lines."""
-    rows = tables.segments(spark, folder, "en").filter("en is not null").select("seg_id", X.squeeze(F.col("en")).alias("t")).filter("length(t) between 1 and 85")
+    """F6, F7, O4 over the words of each translation; null where two lines can't hold it."""
+    rows = tables.segments(spark, folder, "en").filter("en is not null").select("seg_id", X.squeeze(F.col("en")).alias("t")).filter("length(t) >= 1")
     return rows.select("seg_id", X.wrap_lines(F.split("t", " ")).alias("lines"))
 
 

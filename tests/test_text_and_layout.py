@@ -188,3 +188,11 @@ def test_legacy_format_takes_long_texts_and_keeps_characters_together(spark, tmp
     spark.createDataFrame(glossary, "series string, section string, source string, en string").write.parquet(f"{tmp_path}/glossary.parquet")
     got = {x.seg_id: x.lines for x in plans.legacy_format(spark, str(tmp_path)).collect()}
     assert got == {i: brute_format(t, ["Demon Ancestor", "Old City"] if i % 3 else []) for i, t in enumerate(texts) if t is not None}
+
+
+def test_wrap_two_lines_gives_null_for_what_two_lines_cannot_hold(spark, tmp_path):
+    texts = ["short", "word " * 14, "word " * 16, "word " * 18, "word " * 60, "x" * 43, "x" * 90, "", None]
+    spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "seg_id bigint, en string, ingested_at bigint").write.parquet(f"{tmp_path}/segments.parquet")
+    got = {x.seg_id: x.lines for x in plans.wrap_two_lines(spark, str(tmp_path)).collect()}
+    assert got.keys() == set(range(7)) and {i for i, lines in got.items() if lines is None} == {3, 4, 5, 6}
+    assert all(lines.replace("\n", " ") == texts[i].strip() for i, lines in got.items() if lines)
