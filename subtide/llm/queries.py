@@ -22,8 +22,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = tables.segments(spark, folder, "text_zh", "words")
-    table = tuple(r for r in rep.RULES if r.flag == "mostly_repeated")
-    return rep.flagged(rows, "seg_id", "text_zh", "words", table).filter("size(flags) > 0").select("seg_id")
+    raised = rep.flagged(rows, "seg_id", "text_zh", "words")
+    return raised.filter(F.arrays_overlap("flags", F.array(*[F.lit(f) for f in rep.REPEATED]))).select("seg_id")
 
 
 def p3_measures(spark: SparkSession, folder: str) -> DataFrame:

@@ -59,55 +59,78 @@ def test_runs_against_brute_force(spark, seed, block):
     assert runs.collapse_runs(df.limit(0), ["series", "episode"], "pos", "id", "text").count() == 0
 
 
-def brute_share(text, window=12):
-    """Covered by windows that occur earlier, not overlapping, with at most one inner character replaced."""
-    t = re.sub(r"[\W_]", "", text or "").lower()
-    covered = set()
-    for i in range(window, len(t) - window + 1):
-        for j in range(0, i - window + 1):
-            a, b = t[i : i + window], t[j : j + window]
-            if a[0] == b[0] and a[-1] == b[-1] and sum(x != y for x, y in zip(a, b, strict=True)) <= 1:
-                covered |= set(range(i, i + window))
+def without_stutter(t, unit=3):
+    """What is said three times or more on end, in units of up to three letters, once; leftmost and shortest unit first."""
+    out, i = "", 0
+    while i < len(t):
+        for u in range(1, unit + 1):
+            n = 1
+            while t[i + n * u : i + (n + 1) * u] == t[i : i + u] and i + (n + 1) * u <= len(t):
+                n += 1
+            if n >= 3 and i + u <= len(t):
+                out, i = out + t[i : i + u], i + n * u
                 break
-    return len(covered) / len(t) if t else 0.0
+        else:
+            out, i = out + t[i], i + 1
+    return out
 
 
-CASES = ["我们的宗门不会输。" * 6, "我们的宗门不会输！" + "我们的宗门不会芷，" * 5, "不要" * 20, "啊" * 40, "天机不可泄露。" + "衍岚从后山带回了阵旗。别动，有人来了。\n" * 4, "明镜止水心如磐石。" * 5]
-SOUND = ["把古剑交出来！你以为骨笛还在我手里吗？我早就说过，墟丹靠不住。把古剑交出来！", "玄冥来了。我听见玄冥在后山。玄冥走了，别找玄冥。", "那个" * 12 + "雪停之后之。", "", None, "……", "走吧"]
+def brute_share(text):
+    """From the statement: letters in second or later copies. A copy is a passage of four letters, or of six of which one
+    inside differs, that stood before without overlapping it; and what is said three times or more on end."""
+    t = re.sub(r"[\W_]", "", text or "").lower()
+    once = without_stutter(t)
+    covered = set()
+    for j in range(len(once)):
+        for i in range(j):
+            for n, changes in ((4, 0), (6, 1)):
+                a, b = once[i : i + n], once[j : j + n]
+                if len(b) == n and i + n <= j and a[0] == b[0] and a[-1] == b[-1] and sum(x != y for x, y in zip(a, b, strict=True)) <= changes:
+                    covered |= set(range(j, j + n))
+    return (len(t) - len(once) + len(covered)) / len(t) if t else 0.0
+
+
+CASES = [
+    "我们的宗门不会输。" * 6, "我们的宗门不会输！" + "我们的宗门不会芷，" * 5, "不要" * 20, "啊" * 40, "天机不可泄露。" + "衍岚从后山带回了阵旗。别动，有人来了。\n" * 4, "明镜止水心如磐石。" * 5,
+    "快跑他们追上来了，刹樾，快跑他们追上来了，曜冥，快跑他们追上来了，琅夜，快跑他们追上来了，", "是不是" * 6 + "你在这里", "然后" * 7 + "他走了", "别动有人来了" * 4, "走吧快走吧，" * 3, "谢谢观看下期再见！谢谢明看下期再见！谢谢观看下期再见，", "那个" * 12 + "雪停之后之。", "那个" * 6,
+]
+SOUND = [
+    "把古剑交出来！你以为骨笛还在我手里吗？我早就说过，墟丹靠不住。把古剑交出来！", "玄冥来了。我听见玄冥在后山。玄冥走了，别找玄冥。", "走吧走吧走吧", "", None, "……", "走吧", "哈哈哈哈，三日之后所有人都要交出令牌。",
+    "长老们大会之前就会知道真相。冥鹄，你先喝口水。十名守卫正在赶往驿站。长老们大会之前就会知道真相。", "别动，有人来了，走。别动，有人来了。",
+]
+
+
+def shares(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return {x.i: x.m.repeated_share for x in df.select("i", rep.measures(F.col("t")).alias("m")).collect()}
 
 
 def test_shares_against_brute_force(spark):
     r = random.Random(3)
-    texts = [t for t in CASES + SOUND]
+    texts = CASES + SOUND + ["".join(r.choice("甲乙") for _ in range(n)) for n in (7, 8, 11, 12, 13, 25, 40, 80)] + [("甲乙丙丁戊己庚"[:n] * 30)[:m] for n in range(1, 8) for m in (11, 12, 25, 60)]
     for _ in range(60):
-        piece = "".join(r.choice("甲乙丙丁戊己庚辛") for _ in range(r.randrange(5, 25)))
+        piece = "".join(r.choice("甲乙丙丁戊己庚辛") for _ in range(r.randrange(2, 25)))
         copy = lambda p: p[: (k := r.randrange(len(p)))] + r.choice("甲乙x") + p[k + 1 :] if r.random() < 0.4 else p
-        texts.append("".join(copy(piece) + r.choice(["，", "", "天地玄黄宇宙洪荒"]) for _ in range(r.randrange(1, 6))))
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    got = {x.i: x for x in df.select("i", rep.measures(F.col("t")).alias("m")).collect()}
-    for i, t in enumerate(texts):
-        exact = brute_share(t)
-        assert got[i].m.repeated_share <= exact + 1e-9, t  # every window found is one
-        assert got[i].m.repeated_share >= exact - 0.13, (t, exact, got[i].m.repeated_share)
+        texts.append("".join(copy(piece) + r.choice(["，", "", "天地玄黄宇宙洪荒"]) for _ in range(r.randrange(1, 8))))
+    assert shares(spark, texts) == pytest.approx({i: brute_share(t) for i, t in enumerate(texts)})
 
 
 def test_flags(spark):
     words = "array<struct<start_ms:bigint,end_ms:bigint,word:string>>"
     rows = [(i, t, None) for i, t in enumerate(CASES + SOUND)] + [(99, "走吧", [(0, 1, "我们的宗门不会输"), None, (1, 2, None)] + [(2, 3, "我们的宗门不会输")] * 5)]
     df = spark.createDataFrame([(*x, "m") for x in rows], f"id int, text string, words {words}, m string")
-    got = {r.id for r in rep.flagged(df, "id", "text", "words", rep.RULES[:1]).filter("size(flags) > 0").collect()}
+    got = {r.id for r in rep.flagged(df, "id", "text", "words").filter(F.arrays_overlap("flags", F.array(*map(F.lit, rep.REPEATED)))).collect()}
     assert got == {*range(len(CASES)), 99}
     full = {r.id: r.flags for r in rep.repetition(df, "id", "text", "words").collect()}
-    assert {i for i, f in full.items() if "mostly_repeated" in f} == got
+    assert {i for i, f in full.items() if set(f) & set(rep.REPEATED)} == got
     assert "mostly_symbols" not in full[len(CASES) + 3] and rep.repetition(df.limit(0), "id", "text").count() == 0
 
 
 def test_long_texts_take_no_longer_than_their_length(spark):
     r = random.Random(1)
     long = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(40_000))
-    df = spark.createDataFrame([(1, long), (2, long[:20_000] * 2), (3, "哈" * 60_000)], "id int, text string")
-    got = {x.id: x.repeated_share for x in rep.repetition(df, "id", "text").collect()}
-    assert got[1] < 0.01 and abs(got[2] - 0.5) < 0.01 and got[3] > 0.99
+    got = shares(spark, [long, long[:20_000] * 2, "哈" * 60_000, "哈哈走吧" * 5_000])
+    assert got[0] < 0.01 and abs(got[1] - 0.5) < 0.01 and got[2] > 0.99 and got[3] > 0.99
 
 
 @pytest.mark.parametrize("copies", [10, 20, 40])
@@ -115,19 +138,10 @@ def test_copies_that_differ_from_each_other_count(spark, copies):
     """Every copy has one other character changed, so only the first is near to all of them."""
     r = random.Random(copies)
     texts = []
-    for size in (12, 12, 12, 14, 14, 20):
+    for size in (8, 12, 12, 14, 20):
         letters = [chr(0x4E00 + k) for k in r.sample(range(3000), size + 600)]
         piece, other = "".join(letters[:size]), iter(letters[size:])
         changed = lambda p: p[: (k := r.randrange(len(p)))] + next(other) + p[k + 1 :]
         texts.append(piece + "".join("".join(next(other) for _ in range(3)) + changed(piece) for _ in range(copies - 1)))
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    got = {x.i: x.m.repeated_share for x in df.select("i", rep.measures(F.col("t")).alias("m")).collect()}
-    assert got == pytest.approx({i: brute_share(t) for i, t in enumerate(texts)})
-
-
-def test_shares_are_exact(spark):
-    r = random.Random(8)
-    texts = CASES + [t for t in SOUND if t] + ["".join(r.choice("甲乙") for _ in range(n)) for n in (23, 24, 25, 40, 80, 120)] + [("甲乙丙丁戊己庚"[:n] * 30)[:m] for n in range(1, 8) for m in (24, 25, 37, 60)]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    got = {x.i: x.m.repeated_share for x in df.select("i", rep.measures(F.col("t")).alias("m")).collect()}
-    assert got == pytest.approx({i: brute_share(t) for i, t in enumerate(texts)})
+    got = shares(spark, texts)
+    assert got == pytest.approx({i: brute_share(t) for i, t in enumerate(texts)}) and min(got.values()) > 0.5
