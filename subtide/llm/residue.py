@@ -87,13 +87,16 @@ MARKUP = ("i", "b", "u", "s", "em", "br", "p", "tt", "rt", "font", "span", "ruby
 #: What stands between marks: a run of opening ones, a short body, a run of closing ones.
 SPAN = r"[%$]?\([^()\n]{1,60}\)|(?:[\[{<%@#$【（]{1,3}=?|__)[^\[\]{}<>%@#$【】（）\n]{1,60}?(?:[\]}>%@】）]{1,3}|__)"
 STEM = 5
+#: Letters of words (Latin with its accents and marks, Cyrillic), and what is written without spaces. Ranges, as
+#: a look at the script of every character costs much more.
+LETTERS = r"a-z'\x{DF}-\x{24F}\x{300}-\x{36F}\x{400}-\x{52F}\x{1E00}-\x{1EFF}"
+GLUED = r"\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}"
 
 
 def _words(low: Column) -> Column:
     """Stems of words, numbers (as one term) and pairs of neighbouring ideographs or syllables of a lower-case text."""
-    words = F.transform(F.regexp_extract_all(low, F.lit(r"[\p{IsLatin}\p{IsCyrillic}\p{M}']+|\d+"), F.lit(0)), lambda w: F.when(w.between("0", "9￿"), F.lit("0")).otherwise(F.substring(F.rtrim(w, F.lit("s")), 1, STEM)))
-    glued = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
-    pairs = F.when(low.rlike(glued), F.regexp_extract_all(low, F.lit(rf"(?=({glued}{{2}}))"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    words = F.transform(F.regexp_extract_all(low, F.lit(rf"[{LETTERS}]+|\d+"), F.lit(0)), lambda w: F.when(w.between("0", "9￿"), F.lit("0")).otherwise(F.substring(F.rtrim(w, F.lit("s")), 1, STEM)))
+    pairs = F.when(low.rlike(f"[{GLUED}]"), F.regexp_extract_all(low, F.lit(rf"(?=([{GLUED}]{{2}}))"), F.lit(1))).otherwise(F.array().cast("array<string>"))
     return F.filter(F.concat(words, pairs), lambda w: w != "")
 
 
@@ -109,7 +112,7 @@ def span_terms(span: Column) -> Column:
     name = span.rlike(r"^[\[{<%@#$(_]+=?\s*(?:[a-z][a-z0-9_.]{2,40}|[A-Z][A-Za-z0-9_]{1,40})\s*(?:\|[^|]{1,30})?[\]}>%@)_]+$")
     prose = (F.length(F.regexp_replace(marks, "_", "")) == 2) & span.startswith("[") & ~span.contains("_")  # [Music], [MUSIC]
     case = F.when(span.rlike("[a-z]"), "a").otherwise("A")
-    body = F.array_distinct(F.slice(_words(F.lower(F.regexp_replace(span, "[_%]", " "))), 1, F.when(span.rlike(r"\p{IsHan}"), 3).otherwise(2)))
+    body = F.array_distinct(F.slice(_words(F.lower(F.regexp_replace(span, "[_%]", " "))), 1, F.when(span.rlike(f"[{GLUED}]"), 3).otherwise(2)))
     shape = F.concat(F.regexp_replace(marks, r"\(\)(?=.)", ""), case)
     return F.when(name & ~prose, F.array(shape)).otherwise(F.concat(F.array(marks), body))
 
