@@ -7,19 +7,22 @@ The rules are expressions over the pair. Two of them ask the corpus, through agg
 * script mismatch within one script: which words are English is learnt from the company they keep. Only answers whose
   words are mostly unknown to a short list of English function words ask for it.
 
-Both models are aggregates keyed by word; rows meet them in shuffle joins, so nothing grows on the driver, and only the
-rows that a plain rule can't decide take part.
+Both models are aggregates keyed by word, counted before they are shuffled; rows meet them in shuffle joins on salted keys,
+so a word or an ending that a third of all rows share is spread over tasks, nothing grows on the driver, and only the rows
+that a plain rule can't decide take part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subtide.functions.columns import strict_or
 from subtide.session import durable
 
 ORDER = ("empty", "refusal", "copy", "truncated", "wrong_language")
+#: Into so many parts the rows of one word or ending are spread.
+SALT = 8
 
 #: Words that mark a text as English. The first list is strong: no other language uses them.
 STRONG = tuple("the of you is are was were will would have has had this that these with for my your his her their its from what who where why which when been they we she he it's i'll i'm can't won't don't never there has and not shall could should".split())
@@ -122,18 +125,26 @@ def _zh_end(n: int) -> Column:
 
 
 def _endings(rows: DataFrame) -> DataFrame:
-    """(zh, word, n): the last two, one and no characters of sources and the last words of finished answers to them."""
-    finished = rows.filter("stopped and not en_open and han = 0 and latin * 2 > letters and en like '% %'")
-    pairs = finished.select(F.explode(F.array(_zh_end(2), _zh_end(1), F.lit(""))).alias("zh"), _last_word(F.col("words")).alias("word"))
-    return pairs.filter("word <> ''").groupBy("zh", "word").agg(F.count("*").alias("n"))
+    """(zh2, word) that rows ask for, with: of2, n2 and n1 (how often sources that end in zh2, in zh2 and in its last letter are
+    answered by a finished sentence, with this last word for the latter two), n0 (the same whatever the source), and caption
+    (the last word that most answers without a stop share whose sources end in zh2 and lack theirs too).
+
+    Rows are counted by ending and word first; after that a word has at most one row per pair of letters.
+    """
+    usable = F.col("han") == 0
+    latin = F.col("latin") * 2 > F.col("letters")
+    finished = F.col("stopped") & ~F.col("en_open") & usable & latin & F.col("en").like("% %")
+    caption = ~F.col("stopped") & ~F.col("src_stopped") & ~F.col("src_open") & usable & latin
+    counted = rows.filter(finished | caption | F.col("asks")).groupBy(F.col("zh2"), F.col("word")).agg(F.count_if(finished & (F.col("word") != "")).alias("n2"), F.count_if(caption).alias("captions"), F.count_if("asks").alias("asked"))
+    by_word, by_last, by_end = Window.partitionBy("word"), Window.partitionBy("word", F.right("zh2", F.lit(1))), Window.partitionBy("zh2")
+    counted = counted.withColumns({"n0": F.sum("n2").over(by_word), "n1": F.sum("n2").over(by_last)})
+    counted = counted.withColumns({"of2": F.sum("n2").over(by_end), "of": F.sum("captions").over(by_end), "most": F.max(F.struct("captions", "word")).over(by_end)})
+    return counted.filter("asked > 0").select("zh2", "word", "of2", "n2", "n1", "n0", F.when(F.col("most.captions") * 2 > F.col("of"), F.col("most.word")).alias("caption"))
 
 
-def _caption_words(rows: DataFrame) -> DataFrame:
-    """zh2, caption: the last word that most answers without a stop share whose sources end alike and lack theirs too."""
-    captions = rows.filter("not stopped and not src_stopped and not src_open and han = 0 and latin * 2 > letters")
-    counted = captions.select(_zh_end(2).alias("zh2"), _last_word(F.col("words")).alias("word")).groupBy("zh2", "word").agg(F.count("*").alias("n"))
-    most = counted.groupBy("zh2").agg(F.max(F.struct("n", "word")).alias("m"), F.sum("n").alias("of"))
-    return most.filter(F.col("m.n") * 2 > F.col("of")).select("zh2", F.col("m.word").alias("caption"))
+def _salted(table: DataFrame) -> DataFrame:
+    """A table with one row per key, once for every salt."""
+    return table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
 
 
 def usual_length(rows: DataFrame) -> float:
@@ -154,7 +165,8 @@ def _lexicon(rows: DataFrame) -> DataFrame:
 
 
 def broken_pairs(df: DataFrame, ident: str, source: str, answer: str) -> DataFrame:
-    """ident, defects (every defect that applies, in the order of ORDER), defect (the first); sound rows are left out.
+    """ident, defects (every defect whose rule is triggered, in the order of ORDER), defect (the one that the row is called by;
+    a foreign sentence isn't called truncated for how English ones end); sound rows are left out.
 
     ident must tell rows apart. A null answer counts as empty, a null source as one without letters, for which no answer
     is empty and none is a copy; such rows can still be refusals, cut off or in another language. Each row is judged
@@ -179,35 +191,36 @@ def broken_pairs(df: DataFrame, ident: str, source: str, answer: str) -> DataFra
         "inner": F.size(inner),
         "known": known,
     })
-    rows = durable(rows)  # what the rules look at is worked out once; five steps below use it
-    doubtful = (F.col("latin") * 2 >= F.col("letters")) & (F.size("words") >= 2) & (F.col("inner") >= 1) & (F.col("known") * 2 < F.col("inner"))
-    lexicon = _lexicon(rows)
-    asked = rows.filter(doubtful).select("id", F.explode(F.transform(inner, lambda w: F.lower(w))).alias("word"))
-    answered = asked.join(lexicon, "word", "left").groupBy("id").agg(F.avg(F.when(F.col("english") >= 0.3, 1.0).when(F.col("word").isin(*COMMON), 1.0).otherwise(0.0)).alias("sure"), F.count("*").alias("n"))
-    foreign = answered.select("id", ((F.col("sure") < 0.35) & (F.col("n") >= 2)).alias("foreign_words"), ((F.col("sure") == 0) & (F.col("n") == 1)).alias("foreign_word"))
-
     # Endings: answers without a stop, and very short ones, ask how sources that end like theirs are answered. A source
     # that lacks its stop, or ends in a comma, is judged as well; only one that is left open itself spares its answer.
     # Captions ("The End", "Chapter 3: Xuanming") and their sources have no stop: they end as others of their kind.
+    rows = rows.withColumns({"zh2": _zh_end(2), "word": _last_word(F.col("words")), "salt": F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"), "ratio": F.length("en_bare") / F.when(F.length("src_bare") >= 6, F.length("src_bare"))})
+    rows = durable(rows)  # what the rules look at is worked out once; the steps below use it
     usual = usual_length(rows)
-    ratio = F.length("en_bare") / F.when(F.length("src_bare") >= 6, F.length("src_bare"))
-    judged = F.col("src_stopped") | (~F.col("stopped") & ~F.col("src_open"))
-    asks = ~empty & (~F.col("stopped") | F.coalesce(ratio < usual * 0.7, F.lit(False))) & (F.col("han") == 0) & (F.col("latin") * 2 > F.col("letters")) & judged & F.col("en").contains(" ")
+    ratio, judged = F.col("ratio"), F.col("src_stopped") | (~F.col("stopped") & ~F.col("src_open"))
+    asks = ~F.col("empty") & ~F.col("unclosed") & (~F.col("stopped") | F.coalesce(ratio < usual * 0.7, F.lit(False))) & (F.col("han") == 0) & (F.col("latin") * 2 > F.col("letters")) & judged & F.col("en").contains(" ")
+    rows = rows.withColumn("asks", asks)
     whole = (F.length("src_bare") < 6) & (F.length("en_bare") >= F.length("src_bare") * usual * 0.8)
-    heading = F.col("src").rlike(r"[\s\d:：]") & ~F.col("src").rlike("[,，。、;；!！?？…]") & (_last_word(F.col("words")) == "<Name>")
+    heading = F.col("src").rlike(r"[\s\d:：]") & ~F.col("src").rlike("[,，。、;；!！?？…]") & (F.col("word") == "<Name>")
     titled = ~F.col("src_stopped") & (whole | heading)
-    endings = _endings(rows)
-    end = rows.filter(asks & ~F.col("unclosed")).select("id", _last_word(F.col("words")).alias("word"), F.coalesce(ratio < usual * 0.8, F.lit(False)).alias("brief"), titled.alias("titled"), *[_zh_end(n).alias(f"zh{n}") for n in (2, 1)], F.lit("").alias("zh0"))
-    totals = endings.groupBy("zh").agg(F.sum("n").alias("of"))
-    for n in (2, 1, 0):
-        end = end.join(endings.select(F.col("zh").alias(f"zh{n}"), "word", F.col("n").alias(f"n{n}")), [f"zh{n}", "word"], "left")
-        if n == 2:
-            end = end.join(totals.select(F.col("zh").alias(f"zh{n}"), F.col("of").alias(f"of{n}")), f"zh{n}", "left")
-    unseen = F.when(F.col("of2") >= 8, F.col("n2").isNull()).otherwise(F.col("n0").isNull() | (F.col("n1").isNull() & F.col("brief")))
-    end = end.join(_caption_words(rows), "zh2", "left")
-    end = end.select("id", (unseen & ~F.coalesce(F.col("titled") & (F.col("word") == F.col("caption")), F.lit(False))).alias("unseen"))
-
-    rows = rows.join(foreign, "id", "left").join(end, "id", "left")
+    brief = F.coalesce(ratio < usual * 0.8, F.lit(False))
+    unseen = F.when(F.col("of2") >= 8, F.col("n2") == 0).otherwise((F.col("n0") == 0) | ((F.col("n1") == 0) & brief))
+    unseen = unseen & ~F.coalesce(titled & (F.col("word") == F.col("caption")), F.lit(False))
+
+    # Languages in Latin letters: words that the short list doesn't hold ask what company they keep.
+    doubtful = (F.col("latin") * 2 >= F.col("letters")) & (F.size("words") >= 2) & (F.col("inner") >= 1) & (F.col("known") * 2 < F.col("inner"))
+    lower = F.transform(inner, lambda w: F.lower(w))
+    asked = rows.filter(doubtful).select("id", "salt", lower.alias("all"), F.explode_outer(F.filter(lower, lambda w: ~w.isin(*COMMON))).alias("lone"))
+    answered = asked.join(_salted(_lexicon(rows)).withColumnRenamed("word", "lone"), ["lone", "salt"], "left").groupBy("id").agg(
+        F.count_if(F.col("english") >= 0.3).alias("learnt"), F.count("lone").alias("lone"), F.max(F.size("all")).alias("n")
+    )
+    sure = (F.col("learnt") + F.col("n") - F.col("lone")) / F.col("n")
+    foreign = answered.select("id", ((sure < 0.35) & (F.col("n") >= 2)).alias("foreign_words"), ((sure == 0) & (F.col("n") == 1)).alias("foreign_word"))
+
+    endings = _salted(_endings(rows)).withColumnRenamed("zh2", "zh2_").withColumnRenamed("word", "word_").withColumnRenamed("salt", "salt_")
+    met = F.col("asks") & (F.col("zh2") == F.col("zh2_")) & (F.col("word") == F.col("word_")) & (F.col("salt") == F.col("salt_"))
+    rows = rows.join(endings, met, "left").withColumn("unseen", F.when(F.col("asks"), unseen)).join(foreign, "id", "left")
+
     last = F.lower(F.element_at("words", -1))
     short = F.coalesce(ratio < usual * 0.45, F.lit(False)) & (F.col("latin") * 2 > F.col("letters")) & (F.col("han") == 0)
     excused = F.col("src_open") & (F.col("en_open") | (F.length("src_bare") < 4))
@@ -217,12 +230,11 @@ def broken_pairs(df: DataFrame, ident: str, source: str, answer: str) -> DataFra
         "empty": F.col("empty"),
         "refusal": F.col("refusal"),
         "copy": F.col("copy"),
-        "truncated": ~empty & ~excused & ~F.col("copy") & ~F.col("script") & strict_or(F.col("unclosed"), F.col("comma"), dangling, F.col("unseen"), short & ~foreign_any),
-        "wrong_language": ~empty & ~F.col("copy") & strict_or(F.col("script"), foreign_any),
+        "truncated": ~F.col("empty") & ~excused & strict_or(F.col("unclosed"), F.col("comma"), dangling, F.col("unseen"), short),
+        "wrong_language": ~F.col("empty") & strict_or(F.col("script"), foreign_any),
     }
-    # A foreign sentence is not judged by how English ones end.
-    named["truncated"] = named["truncated"] & ~(foreign_any & ~F.col("unclosed") & ~F.col("comma"))
-    named["wrong_language"] = named["wrong_language"] & ~(F.col("unclosed") & ~F.col("script"))
+    # What a row is called first. How English sentences end, and how long they are, says nothing of a foreign one.
+    plainly = named["truncated"] & ~F.col("script") & strict_or(F.col("unclosed"), F.col("comma"), ~foreign_any)
+    first = F.when(named["empty"], "empty").when(named["refusal"], "refusal").when(named["copy"], "copy").when(plainly, "truncated").when(named["wrong_language"], "wrong_language")
     defects = F.array_compact(F.array(*[F.when(F.coalesce(named[d], F.lit(False)), F.lit(d)) for d in ORDER]))
-    out = rows.select(F.col("id").alias(ident), defects.alias("defects")).filter(F.size("defects") > 0)
-    return out.withColumn("defect", F.get("defects", F.lit(0)))
+    return rows.select(F.col("id").alias(ident), defects.alias("defects"), first.alias("defect")).filter("defect is not null")
