@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from subtide.functions.columns import strict_or
+from subtide.functions.columns import let, strict_or
 from subtide.session import durable
 
 ORDER = ("empty", "refusal", "copy", "truncated", "wrong_language")
@@ -47,6 +47,8 @@ REFUSAL = (
     r"(не (могу|можем|удалось|буду)|невозможно|нельзя|отказ).{0,30}(перев|запрос|выполн)|перевод.{0,30}(невозможен|недоступен|отклон)",
     r"không (thể|được).{0,25}(dịch|yêu cầu|hỗ trợ)|tidak (dapat|bisa|boleh).{0,25}(terjemah|menerjemah|memenuhi|membantu)|(çevir|tercüme).{0,20}(em|mıyor|miyor|reddedildi|mümkün değil)",
 )
+#: Each pattern above needs one of these.
+REFUSAL_STEMS = tuple("translat render english request line text sentence content passage target prompt assist comply guess artificial language context outside 译 譯 处理 處理 协助 回答 请求 提供 内容 模型 智能 智慧 助手 翻訳 お手伝い お答え 対応 번역 도와 tradu übersetz перев запрос выполн dịch yêu hỗ terjemah menerjemah memenuhi membantu çevir tercüme".split())
 #: What an answer that merely hands back the source may put around it.
 WRAPPERS = r"(?i)\b(translate|translated?|translation|source|original|text|line|sentence|chinese|english|input|output|answer|response|please|the|this|is|of|into|to|following|zh|en)\b|原文|译文|翻译|中文|英文|如下|这句话|请"
 
@@ -91,7 +93,7 @@ def _unclosed() -> Column:
     """A bracket or a quotation that is opened and not closed."""
     en = F.col("en")
     n = lambda p: _count(en, p)
-    return strict_or(n('"') % 2 == 1, n("[“]") > n("[”]"), n("[(（]") > n("[)）]"), n(r"[\[]") > n(r"[\]]"), n("[{]") > n("[}]"), n("[《]") > n("[》]"), n("[「『]") > n("[」』]"))
+    return en.rlike('["“(（\\[{《「『]') & strict_or(n('"') % 2 == 1, n("[“]") > n("[”]"), n("[(（]") > n("[)）]"), n(r"[\[]") > n(r"[\]]"), n("[{]") > n("[}]"), n("[《]") > n("[》]"), n("[「『]") > n("[」』]"))
 
 
 def _copy() -> Column:
@@ -108,8 +110,8 @@ def _copy() -> Column:
 
 def _refusal() -> Column:
     """Not where the source itself speaks of translating, and not a copy of it."""
-    en = F.lower(F.translate("en", "’", "'"))
-    said = strict_or(*[en.rlike(p) for p in REFUSAL])
+    spoken = lambda en: strict_or(*[en.contains(w) for w in (*REFUSAL_STEMS, "as a")]) & strict_or(*[en.rlike(p) for p in REFUSAL])
+    said = let(F.lower(F.translate("en", "’", "'")), spoken)
     return said & ~F.col("src").rlike("译|譯|语言模型") & (F.col("en_bare") != F.col("src_bare"))
 
 
