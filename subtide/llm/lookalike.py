@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Letters that are drawn alike, Latin first; in each row the letters of Latin, Greek, Cyrillic in order.
-ALIKE_LATIN = "ABCEHIJKMNOPSTXYZacehijopsvxy"
-ALIKE_GREEK = "ΑΒ ΕΗΙ ΚΜΝΟΡ ΤΧΥΖ      ο ν   "
-ALIKE_CYRILLIC = "АВСЕНІЈКМ ОРЅТХУ асеһіјорѕѵху"
-#: Further single letters and the Latin letter they are drawn as.
-ALIKE_MORE = {"ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "Ӏ": "I", "ɡ": "g", "ɑ": "a", "ı": "i", "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮓ": "Z", "ϲ": "c", "Ϲ": "C", "ϳ": "j", "ѡ": "w"}
+ALIKE_LATIN = "ABCEHIJKMNOPSTXYZacehijopsvxyrpiuay"
+ALIKE_GREEK = "ΑΒ ΕΗΙ ΚΜΝΟΡ ΤΧΥΖ      ο ν    ριυαγ"
+ALIKE_CYRILLIC = "АВСЕНІЈКМ ОРЅТХУ асеһіјорѕѵхуг     "
+#: Letters of further scripts (and single ones of these) and the Latin letter they are drawn as, script by script.
+ALIKE_MORE = (
+    ("ԁԛԝӏӀѡԌҮԚԜ", "dqwlIwGYQW"), ("ɡɑıɩʀϲϹϳ", "gaiiRcCj"), ("օսհոցզյՕՍԼՏ", "ouhngqjOULS"),
+    ("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏚᏞᏟᏢᏦᏧᏙᏴ", "DRTiYAJEWMHYGhZbRWSLCPKdVB"), ("ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "ABEHIKMNOPCTYXopc"), ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+)
 #: Kana drawn as an ideograph; they count as one only beside ideographs and apart from other kana.
 ALIKE_HAN = {"ニ": "二", "ハ": "八", "ロ": "口", "エ": "工", "カ": "力", "タ": "夕", "ト": "卜", "ヘ": "へ"}
 #: Radicals without a decomposition and the ideograph they are drawn as.
@@ -38,10 +41,14 @@ PREFERENCE = (LATIN, CYRILLIC, GREEK)
 _SPELL: dict[str, dict[str, str]] = {}
 for _latin, _greek, _cyrillic in zip(ALIKE_LATIN, ALIKE_GREEK, ALIKE_CYRILLIC, strict=True):
     _row = {s: c for s, c in ((LATIN, _latin), (GREEK, _greek), (CYRILLIC, _cyrillic)) if c != " "}
+    if _latin in _SPELL:  # one Latin letter may have a look-alike of another script in a second row
+        _SPELL[_latin].update({s: c for s, c in _row.items() if s not in _SPELL[_latin]})
+        _row = _SPELL[_latin]
     for _c in _row.values():
         _SPELL[_c] = _row
-for _c, _latin in ALIKE_MORE.items():
-    _SPELL.setdefault(_c, {**_SPELL.get(_latin, {LATIN: _latin}), "OTHER": _c})
+for _letters, _latins in ALIKE_MORE:
+    for _c, _latin in zip(_letters, _latins, strict=True):
+        _SPELL.setdefault(_c, {**_SPELL.get(_latin, {LATIN: _latin}), "OTHER": _c})
 
 #: What a row may hold and still be plain: ASCII, the basic ideographs, common marks of the script, full-width ASCII.
 PLAIN = "^[ -~一-鿿、。…—《》“”‘’「」！-～　\\n\\t]*$"
@@ -137,19 +144,55 @@ def unify(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({f"{c}_form": consistent_form(F.col(c)) for c in columns})
 
 
+#: So many rows of one class meet in one task when its pairs are written out.
+CLASS_PART = 1024
+
+
+def _members(df: DataFrame, keys: list[str], ident: str, text: str) -> tuple[DataFrame, list[str]]:
+    """Rows with a letter or digit: e0..en (the keys, null-safe), id, text, form; and the names of e."""
+    names = [f"e{i}" for i in range(len(keys))]
+    e = [F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("\0")).alias(n) for k, n in zip(keys, names, strict=True)]
+    rows = df.filter(F.col(text).rlike(r"[\p{L}\p{N}]")).select(*e, F.col(ident).alias("id"), F.col(text).alias("text"))
+    return rows.withColumn("form", consistent_form(F.col("text"))), names
+
+
+def _back(keys: list[str]) -> list[Column]:
+    return [F.when(F.col(f"e{i}") != "\0", F.col(f"e{i}")).alias(k) for i, k in enumerate(keys)]
+
+
+def _classes(rows: DataFrame, names: list[str]) -> DataFrame:
+    """One row per class with two spellings or more: its size and how many rows hold each spelling, counted before any row
+    is moved. A class has few spellings; its rows are never collected."""
+    spelt = rows.groupBy(*names, "form", "text").agg(F.count("*").alias("copies"))
+    return spelt.groupBy(*names, "form").agg(F.sum("copies").alias("rows"), F.count("*").alias("spellings")).filter("spellings > 1")
+
+
+def lookalike_classes(df: DataFrame, keys: list[str], ident: str, text: str) -> DataFrame:
+    """keys, ident, class (a hash of the consistent form), rows, spellings, links: every row whose text looks like that of
+    another row of its key written otherwise. links: the rows of its class that are written otherwise.
+
+    Null texts and texts without a letter or digit are in no class; null keys are a key of their own; repeated rows count each;
+    an empty table gives no rows.
+    """
+    rows, names = _members(df, keys, ident, text)
+    spelt = rows.groupBy(*names, "form", "text").agg(F.count("*").alias("copies"))
+    found = spelt.join(_classes(rows, names), [*names, "form"])
+    joined = rows.join(found.select(*names, "form", "text", "copies", "rows", "spellings"), [*names, "form", "text"])
+    return joined.select(*_back(keys), F.col("id").alias(ident), F.xxhash64("form").alias("class"), "rows", "spellings", (F.col("rows") - F.col("copies")).alias("links"))
+
+
 def lookalike_pairs(df: DataFrame, keys: list[str], ident: str, text: str) -> DataFrame:
     """keys, id_a, id_b: rows of one key whose texts look the same but differ in code points, id_a < id_b.
 
-    Classes are found on distinct texts: (key, form) classes with two texts or more are kept by a hash aggregate, and
-    only their rows are joined, on the class. Null texts and texts without a letter or digit are in no class. The key
-    columns are compared null-safely. The number of pairs is the result's own size; exact copies add no class.
+    Classes with two texts or more are found by hash aggregates, and only their rows are joined, on the class. A large class is
+    spread: one side of its join is cut into parts of about ``CLASS_PART`` rows, each of which meets the other side in a task of
+    its own. Null texts and texts without a letter or digit are in no class. The key columns are compared null-safely. The number
+    of pairs is the result's own size; exact copies add no class.
     """
-    e = [F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("\0")).alias(f"e{i}") for i, k in enumerate(keys)]
-    names = [f"e{i}" for i in range(len(keys))]
-    rows = df.filter(F.col(text).rlike(r"[\p{L}\p{N}]")).select(*e, F.col(ident).alias("id"), F.col(text).alias("text"))
-    rows = rows.withColumn("form", consistent_form(F.col("text")))
-    classes = rows.groupBy(*names, "form").agg(F.min("text").alias("low"), F.max("text").alias("high")).filter("low <> high").select(*names, "form")
-    members = rows.join(classes, [*names, "form"], "left_semi")
-    other = members.select(*names, "form", F.col("id").alias("id_b"), F.col("text").alias("text_b"))
-    pairs = members.join(other, [*names, "form"]).filter("id < id_b and text <> text_b")
-    return pairs.select(*[F.when(F.col(f"e{i}") != "\0", F.col(f"e{i}")).alias(k) for i, k in enumerate(keys)], F.col("id").alias("id_a"), "id_b")
+    rows, names = _members(df, keys, ident, text)
+    classes = _classes(rows, names).select(*names, "form", F.ceil(F.col("rows") / CLASS_PART).cast("int").alias("parts"))
+    members = rows.join(classes, [*names, "form"])
+    a = members.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.col("parts")).cast("int")).drop("parts")
+    b = members.select(*names, "form", F.col("id").alias("id_b"), F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = a.join(b, [*names, "form", "part"]).filter("id < id_b and text <> text_b")
+    return pairs.select(*_back(keys), F.col("id").alias("id_a"), "id_b")

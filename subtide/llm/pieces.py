@@ -27,7 +27,7 @@ def normal(text: Column) -> Column:
 
 
 def _units(text: Column, limit: int) -> Column:
-    chunk = max(1, (limit - OVERLAP_CHARS) // 2)
+    chunk = max(1, limit - OVERLAP_CHARS - 1)  # such a word still fits behind an overlap
     spaced = F.regexp_extract_all(text, F.lit(rf"[^ ]{{1,{chunk}}} ?"), F.lit(0))
     glued = F.regexp_extract_all(text, F.lit(r"[^\p{P}]{0,8}\p{P}{1,4}|[^\p{P}]{1,8}"), F.lit(0))
     return F.when(F.instr(text, " ") > 0, spaced).otherwise(glued)
@@ -36,39 +36,46 @@ def _units(text: Column, limit: int) -> Column:
 def split(text: Column, limit: int = LIMIT) -> Column:
     """array<struct<no, start, end, text>> of a normalised text: pieces of at most ``limit`` code points.
 
-    Each later piece starts with the last two words of the piece before it, or, where it has no spaces or two words
-    leave no room for the next, its last eight characters. start and end are offsets in the normalised text. A text
+    Each later piece starts with the last two words of the piece before it, or, where that has no two whole words or they
+    leave no room for the next, with its last eight characters. start and end are offsets in the normalised text. A text
     within the limit is one piece, the empty text none; null gives null.
     """
 
     def nodes(units: Column, ends: Column) -> Column:
+        """Per boundary: where a piece may begin before it (two words back if that leaves room, eight characters back), where
+        one that ends at it stops showing, and how natural it is."""
         m = F.size(units)
         unit = lambda k: F.get(units, k - 1)  # noqa: E731  unit before node k
         end = lambda k: F.when(k <= 0, 0).otherwise(F.get(ends, k - 1))
         wordend = lambda k: (k <= 0) | F.coalesce(unit(k).endswith(" "), F.lit(False))
         shown = lambda k: end(k) - F.when((k > 0) & wordend(k), 1).otherwise(0)
-
-        def begin(k: Column) -> Column:
-            two_words = (k >= 2) & wordend(k) & wordend(k - 1) & wordend(k - 2) & (shown(k + 1) - end(k - 2) <= limit)
-            return F.when((k == 0) | (k == m), end(k)).when(two_words, end(k - 2)).otherwise(F.greatest(F.lit(0), shown(k) - OVERLAP_CHARS))
-
+        two = lambda k: F.when((k >= 2) & (k < m) & wordend(k) & wordend(k - 1) & wordend(k - 2) & (shown(k + 1) - end(k - 2) <= limit), end(k - 2))
+        eight = lambda k: F.when((k == 0) | (k == m), end(k)).otherwise(F.greatest(F.lit(0), shown(k) - OVERLAP_CHARS))
         rank = lambda k: F.when(k == m, 9).when(unit(k).rlike(SENTENCE_END), 3).when(unit(k).rlike(CLAUSE_END), 2).when(wordend(k), 1).otherwise(0)
-        return F.transform(F.sequence(F.lit(0), m), lambda k: F.struct(begin(k).alias("begin"), shown(k).alias("shown"), rank(k).alias("rank")))
+        return F.transform(F.sequence(F.lit(0), m), lambda k: F.struct(two(k).alias("two"), eight(k).alias("eight"), shown(k).alias("shown"), rank(k).alias("rank")))
+
+    # A state is a boundary and how the piece from it begins: 2k + 1 two words back, 2k eight characters back.
+    boundary = lambda state: F.shiftright(state, 1)
+    begin = lambda node, state: let(F.get(node, boundary(state)), lambda n: F.when(state % 2 == 1, n["two"]).otherwise(n["eight"]))
 
     def successors(node: Column) -> Column:
         m = F.size(node) - 1
 
-        def farthest(k: Column) -> Column:
-            start = F.get(node, k)["begin"]
+        def farthest(state: Column) -> Column:
+            k = boundary(state)
+
+            def from_start(start: Column) -> Column:
+                def best(legal: Column) -> Column:
+                    of = lambda rank, least: F.array_max(F.filter(legal, lambda q: (F.get(node, q)["rank"] >= rank) & (F.get(node, q)["shown"] - start >= least)))
+                    return F.coalesce(of(9, 0), of(3, limit // 2), of(2, limit // 2), of(1, 0), F.array_max(legal), k + 1)
 
-            def best(legal: Column) -> Column:
-                of = lambda rank, least: F.array_max(F.filter(legal, lambda q: (F.get(node, q)["rank"] >= rank) & (F.get(node, q)["shown"] - start >= least)))
-                return F.coalesce(of(9, 0), of(3, limit // 2), of(2, limit // 2), of(1, 0), F.array_max(legal), k + 1)
+                reach = F.filter(F.sequence(k + 1, F.least(k + limit, m)), lambda q: F.get(node, q)["shown"] - start <= limit)
+                # Two words may only be repeated where the piece holds both of them whole.
+                return let(let(reach, best), lambda q: 2 * q + F.when(F.get(node, q)["two"] >= start, 1).otherwise(0))
 
-            reach = F.filter(F.sequence(k + 1, F.least(k + limit, m)), lambda q: F.get(node, q)["shown"] - start <= limit)
-            return F.when(k >= m, m).otherwise(let(reach, best))
+            return F.when(k >= m, 2 * m).otherwise(let(begin(node, state), lambda start: F.when(start.isNull(), 2 * m).otherwise(from_start(start))))
 
-        return F.transform(F.sequence(F.lit(0), m), farthest)
+        return F.transform(F.sequence(F.lit(0), 2 * m + 1), farthest)
 
     def cuts(succ: Column) -> Column:
         steps = F.ceil(F.log2(F.size(succ).cast("double"))).cast("int") + 1
@@ -81,15 +88,18 @@ def split(text: Column, limit: int = LIMIT) -> Column:
 
     def pieces(body: Column, node: Column, at: Column) -> Column:
         def piece(i: Column) -> Column:
-            a, z = F.get(node, F.get(at, i))["begin"], F.get(node, F.get(at, i + 1))["shown"]
+            a, z = begin(node, F.get(at, i)), F.get(node, boundary(F.get(at, i + 1)))["shown"]
             return F.struct((i + 1).alias("no"), a.alias("start"), z.alias("end"), F.trim(F.substring(body, a + 1, z - a)).alias("text"))
 
         return F.transform(F.sequence(F.lit(0), F.size(at) - 2), piece)
 
     def long(body: Column) -> Column:
-        # Offsets are running sums of unit lengths.
+        # Offsets are running sums of unit lengths, by doubling: after step k each place holds the sum of the last 2^k lengths.
         def with_units(units: Column) -> Column:
-            ends = F.aggregate(F.transform(units, lambda u: F.length(u)), F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), a), -1), F.lit(0)) + n)))
+            steps = F.greatest(F.lit(1), F.ceil(F.log2(F.size(units).cast("double"))).cast("int"))
+            back = F.transform(F.sequence(F.lit(0), steps - 1), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+            add = lambda a, d: F.transform(a, lambda n, i: n + F.when(i >= d, F.get(a, i - d)).otherwise(0))
+            ends = F.aggregate(back, F.transform(units, lambda u: F.length(u)), add)
             return let(ends, lambda e: let(nodes(units, e), lambda node: let(cuts(successors(node)), lambda at: pieces(body, node, at))))
 
         return let(_units(body, limit), with_units)

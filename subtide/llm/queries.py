@@ -47,13 +47,20 @@ def p5_events(spark: SparkSession, folder: str) -> DataFrame:
     return _runs(spark, folder, True)
 
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = (
+def _spelt(spark: SparkSession, folder: str) -> DataFrame:
+    return (
         tables.table(spark, folder, "terms").select(F.lit("term").alias("kind"), "series", F.col("term_id").alias("id"), F.col("source").alias("text"))
         .unionByName(tables.table(spark, folder, "translation_memory").select(F.lit("memory").alias("kind"), "series", F.col("seq").alias("id"), F.col("source").alias("text")))
         .unionByName(tables.segments(spark, folder, "series", "text_zh").select(F.lit("segment").alias("kind"), "series", F.col("seg_id").alias("id"), F.col("text_zh").alias("text")))
     )
-    return lookalike.lookalike_pairs(rows, ["kind", "series"], "id", "text").select("kind", "id_a", "id_b")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.lookalike_pairs(_spelt(spark, folder), ["kind", "series"], "id", "text").select("kind", "id_a", "id_b")
+
+
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.lookalike_classes(_spelt(spark, folder), ["kind", "series"], "id", "text")
 
 
 def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,7 +107,7 @@ def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_defects, p3_found, p3_measures, p4_found, p4_forms, p5_found, p5_events, p6_found, p6_pieces, p7_containers, p8_found, p8_spans, p9_found, p9_kept)}
+    return {f.__name__: f for f in (p2_found, p2_defects, p3_found, p3_measures, p4_found, p4_classes, p4_forms, p5_found, p5_events, p6_found, p6_pieces, p7_containers, p8_found, p8_spans, p9_found, p9_kept)}
 
 
 def _one_apart(a: str, b: str) -> str:

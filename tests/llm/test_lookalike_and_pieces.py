@@ -1,5 +1,6 @@
 import itertools
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from subtide.llm import lookalike, pieces
 
 SAME = [
     ("HP35赤澜灵令", "ＨＰ３５赤澜灵令"), ("EXP听汐星谷", "ЕХР听汐星谷"), ("EXP听汐", "ЕXP听汐"), ("Mèng归归", "Mèng归归"), ("碧丹", "碧​丹﻿"), ("Lǚ Tempo 归", "Lǚ　Tempо 归"), ("明夜岚谷", "明夜岚⾕"), ("绛境", "隸境".replace("隸", "绛")), ("来了！", "来了!"),
-    ("Νaïve", "Naïve"), ("Υún", "Yún"), ("一二", "⼀⼆"), ("口令", "ロ令"), ("ﬁre", "fire"), ("привет", "пpивeт"),
+    ("Νaïve", "Naïve"), ("ραιυ", "paiu"), ("сᎪꓔ", "cAT"), ("Υún", "Yún"), ("一二", "⼀⼆"), ("口令", "ロ令"), ("ﬁre", "fire"), ("привет", "пpивeт"),
 ]
 DIFFERENT = [("EXP", "exp"), ("赤澜", "赤阑"), ("走吧", "走吧。"), ("a b", "ab"), ("10级", "1O级"), ("x²", "x2"), ("привет", "privet"), ("未来", "末来"), ("café", "cafe"), ("ロボット", "口ボット"), ("……", "...")]
 
@@ -43,6 +44,17 @@ def test_pairs(spark):
     assert lookalike.lookalike_pairs(df.limit(0), ["series"], "id", "text").count() == 0
 
 
+def test_classes_and_a_class_that_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "CLASS_PART", 7)
+    rows = [("a", i, ["EXP", "ЕXP", "ＥXP"][i % 3]) for i in range(60)] + [("a", 90, "apart"), ("b", 91, "EXP"), (None, 92, "EXP"), (None, 93, "EХP")]
+    df = spark.createDataFrame([(*r, "form", 1) for r in rows], "series string, id bigint, text string, form string, rows int")
+    got = {r.id: (r.series, r.rows, r.spellings, r.links) for r in lookalike.lookalike_classes(df, ["series"], "id", "text").collect()}
+    assert got == {i: ("a", 60, 3, 40) for i in range(60)} | {i: (None, 2, 2, 1) for i in (92, 93)}
+    pairs = [(r.id_a, r.id_b) for r in lookalike.lookalike_pairs(df, ["series"], "id", "text").collect()]
+    assert len(pairs) == len(set(pairs)) == 60 * 40 // 2 + 1
+    assert lookalike.lookalike_classes(df.limit(0), ["series"], "id", "text").count() == 0
+
+
 def check(body, parts, limit=84):
     assert [p.no for p in parts] == list(range(1, len(parts) + 1))
     covered = 0
@@ -94,3 +106,21 @@ def test_very_long_text(spark):
     text = "every word of this very long text counts, " * 2500
     parts = spark.range(1).select(pieces.split(pieces.normal(F.lit(text))).alias("p")).first().p
     check(" ".join(text.split()), parts)
+
+
+def test_words_stay_whole_where_they_fit(spark):
+    words = ["a" * 60, "short", "b" * 70, "and", "c" * 75, "end"] * 4
+    parts = spark.range(1).select(pieces.split(pieces.normal(F.lit(" ".join(words)))).alias("p")).first().p
+    check(" ".join(words), parts)
+    assert all(p.text.split(" ")[-1] in words for p in parts)
+
+
+FOLDER = Path("/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="needs the test tables")
+def test_every_piece_of_the_smallest_table_is_valid(spark):
+    for table, ident, column in (("segments", "seg_id", "en"), ("cues", "cue_id", "text")):
+        df = spark.read.parquet(f"{FOLDER}/{table}.parquet").filter(F.length(column) > 84).select(ident, pieces.normal(F.col(column)).alias("b"))
+        for row in df.select("b", pieces.split(F.col("b")).alias("p")).collect():
+            check(row.b, row.p)
