@@ -10,8 +10,9 @@ common subsequence with the whole document is measured. The parts of a document
 spans for removal.
 
 Phrases have three words: an item of nine words or more of which no more than a quarter is replaced keeps one of that
-length, so the search loses none of those. Items are the stated query set: they are taken in blocks of bounded size, and
-each block is searched in all documents.
+length, so the search loses none of those. What is measured after that isn't bound to the places of phrases. A phrase may
+stand in many items and many documents: located places are expanded to items in portions of bounded size. Items are the
+stated query set: they are taken in blocks of bounded size, and each block is searched in all documents.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PHRASE, NEAR, SAMPLE = 3, 4, 8
+PHRASE, JOIN, SAMPLE = 3, 4, 8
 SHARD_WORDS = 400_000
 BLOCK_CHARS = 4_000_000
+#: So many places of phrases in items are held at a time.
+PORTION = 2_000_000
 SEPARATOR, FIRST = 1, 2
 RESULT = "item_id bigint, doc_id bigint, rule string, longest_run bigint, share double, spans array<struct<first:bigint,last:bigint>>"
 
@@ -65,6 +68,7 @@ class Items:
             place = np.concatenate([np.arange(len(g)) for g in grams])
             order = np.argsort(inverse.ravel(), kind="stable")
             self.owner, self.place = owner[order], place[order]
+            self.key = inverse.ravel()[order] * len(grams) + self.owner  # ascending: by phrase, then by item
             self.first = np.r_[0, np.cumsum(np.bincount(inverse.ravel(), minlength=len(self.phrases)))]
         else:
             self.phrases = np.zeros((0, PHRASE), int)
@@ -158,7 +162,7 @@ def common_length(a: np.ndarray, b: np.ndarray) -> int:
 
 def _spans(at: np.ndarray, length: int, real: np.ndarray) -> list[dict]:
     """Merged spans, in words of the document, of phrases that begin at sorted positions ``at``."""
-    cut = np.flatnonzero(np.diff(at) > length + NEAR) + 1
+    cut = np.flatnonzero(np.diff(at) > length + JOIN) + 1
     return [{"first": int(real[g[0]]), "last": int(real[g[-1] + length - 1])} for g in np.split(at, cut) if len(g)]
 
 
@@ -184,11 +188,36 @@ def search_shard(ids: list[int], docs: list[list[str]], items: Items) -> list[tu
     rows = np.repeat(low - np.r_[0, np.cumsum(found)[:-1]], found) + np.arange(found.sum())
     phrase = np.repeat(np.arange(len(found)), found)
     at = index.locate(rows)
-    # Every occurrence of a phrase counts for every place that the phrase has in an item.
-    places = np.diff(items.first)[phrase]
-    which = np.repeat(items.first[phrase] - np.r_[0, np.cumsum(places)[:-1]], places) + np.arange(places.sum())
-    at, owner, place = np.repeat(at, places), items.owner[which], items.place[which]
     doc = np.searchsorted(start, at, side="right") - 1
+    order = np.argsort(doc, kind="stable")
+    at, phrase, doc = at[order], phrase[order], doc[order]
+    out: list[tuple] = []
+    # Portions of whole documents; a document whose phrases stand in very many items is taken by ranges of items.
+    size = np.cumsum(np.diff(items.first)[phrase])
+    borders = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
+    a = 0
+    while a < len(borders) - 1:
+        done = size[borders[a] - 1] if borders[a] else 0
+        z = max(a + 1, int(np.searchsorted(size[borders[a + 1 :] - 1], done + PORTION, side="right")) + a)
+        part = slice(borders[a], borders[z])
+        ranges = max(1, -(-int(size[borders[z] - 1] - done) // PORTION))
+        cuts = np.linspace(0, len(items.ids), min(ranges, len(items.ids)) + 1).astype(int)
+        for low_item, high_item in zip(cuts[:-1], cuts[1:], strict=True):
+            out += _measure(ids, items, seq, start, reals, at[part], phrase[part], doc[part], int(low_item), int(high_item))
+        a = z
+    return out
+
+
+def _measure(ids: list[int], items: Items, seq: np.ndarray, start: np.ndarray, reals: list[np.ndarray], at: np.ndarray, phrase: np.ndarray, doc: np.ndarray, low_item: int, high_item: int) -> list[tuple]:
+    """Rows of RESULT for some located phrases, of the items from low_item to high_item alone."""
+    # Every occurrence of a phrase counts for every place that the phrase has in an item.
+    n = len(items.ids)
+    first = np.searchsorted(items.key, phrase * n + low_item)
+    places = np.searchsorted(items.key, phrase * n + high_item) - first
+    if not places.sum():
+        return []
+    which = np.repeat(first - np.r_[0, np.cumsum(places)[:-1]], places) + np.arange(places.sum())
+    at, doc, owner, place = np.repeat(at, places), np.repeat(doc, places), items.owner[which], items.place[which]
     order = np.lexsort((place, at - place, owner, doc))
     at, owner, place, doc = at[order], owner[order], place[order], doc[order]
     diagonal = at - place
@@ -196,8 +225,8 @@ def search_shard(ids: list[int], docs: list[list[str]], items: Items) -> list[tu
     run = np.r_[True, ~(same & (diagonal[1:] == diagonal[:-1]) & (place[1:] == place[:-1] + 1))]
     begins = np.flatnonzero(run)
     lengths = np.diff(np.r_[begins, len(at)]) + PHRASE - 1
-    longest = np.maximum.reduceat(lengths, np.searchsorted(begins, np.flatnonzero(np.r_[True, ~same])))
     groups = np.flatnonzero(np.r_[True, ~same])
+    longest = np.maximum.reduceat(lengths, np.searchsorted(begins, groups))
     out = []
     for g, (a, z) in enumerate(zip(groups, np.r_[groups[1:], len(at)], strict=True)):
         item, d = owner[a], doc[a]
@@ -205,7 +234,7 @@ def search_shard(ids: list[int], docs: list[list[str]], items: Items) -> list[tu
         here = np.unique(at[a:z])
         base = start[d]
         distinct, times = np.unique(target, return_counts=True)
-        wanted = np.zeros(len(index.count), bool)
+        wanted = np.zeros(1 << items.bits, bool)
         wanted[distinct] = True
         share, rule = 0.0, "run" if longest[g] >= items.need[item] else ""
         body = seq[base : start[d + 1]]

@@ -3,6 +3,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from subtide.llm import leaks, packing
 
@@ -39,7 +40,7 @@ def test_common_length():
         assert leaks.common_length(np.array(a), np.array(b)) == lcs(a, b)
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     r = random.Random(4)
     vocabulary = [a + b for a in ("ka", "mo", "ri", "tel", "su") for b in ("lan", "dor", "vim", "pas", "gru", "hek")]
     en = " ".join(r.choice(vocabulary) for _ in range(60))
@@ -57,6 +58,11 @@ def test_leaks(spark):
     for words in (50, 400_000):
         found = leaks.leaked(df, items, shard_words=words)
         assert {(x.item_id, x.doc_id) for x in found.collect()} == {(2 if i in (6, 8, 9, 10) else 1, i) for i, _, hit in docs if hit}
+    with monkeypatch.context() as m:
+        m.setattr(leaks, "PORTION", 10)
+        ids, texts = zip(*[(i, leaks.words_of(t)) for i, t, _ in docs if t], strict=True)
+        query = leaks.Items([(1, "en", en), (2, "zh", zh), (4, "en", "too short")])
+        assert {x[:2] for x in leaks.search_shard(list(ids), list(texts), query)} == {(x.item_id, x.doc_id) for x in found.collect()}
     assert {(x.item_id, x.doc_id) for x in leaks.leaked(df, items, block_chars=1).collect()} == {(x.item_id, x.doc_id) for x in found.collect()}
     spans = {(x.doc_id, x.first, x.last) for x in leaks.removal_spans(found).collect()}
     assert (13, 0, 59) in spans and (2, 300, 311) in spans
@@ -84,13 +90,13 @@ def test_runs_of_the_smallest_table_against_brute_force(spark):
 
 
 def test_best_fit_takes_the_tightest_compatible_bin():
-    place, conflict = packing.best_fit([6, 5, 4, 3, 2], [-1] * 5, [-1] * 5, 10)
+    place, conflict = packing.best_fit([6, 5, 4, 3, 2], [-1] * 5, [()] * 5, 10)
     assert place[2] == place[0] and place[3] == place[1] and place[4] == place[1] and not any(conflict)
-    place, conflict = packing.best_fit([6, 6, 4, 4], [-1] * 4, [0, 1, 0, 1], 10)
+    place, conflict = packing.best_fit([6, 6, 4, 4], [-1] * 4, [(0, 2), (1,), (0,), (1,)], 10)
     assert place[2] == place[1] and place[3] == place[0] and not any(conflict)
-    place, conflict = packing.best_fit([5, 5], [0, 0], [-1, -1], 10)
+    place, conflict = packing.best_fit([5, 5], [0, 0], [(), ()], 10)
     assert place == [0, 0] and conflict == [False, True]
-    assert packing.best_fit([5, 5], [0, 0], [-1, -1], 10, strict=True) == ([0, 1], [False, False])
+    assert packing.best_fit([5, 5], [0, 0], [(), ()], 10, strict=True) == ([0, 1], [False, False])
 
 
 @pytest.mark.skipif(not Path(packing.TOKENIZER).exists(), reason="needs a tokenizer file")
@@ -111,10 +117,40 @@ def test_containers(spark):
     assert [c[0] for c in cut] == list(range(1, len(cut) + 1)) and all(c[1] == packing.CAPACITY for c in cut[:-1]) and all(c[2] == (c[0] - 1) * packing.CAPACITY for c in cut)
     assert all(x.part == 0 for x in rows if x.doc_id != 300)
     assert packing.pack(df.limit(0)).count() == 0
-    apart = packing.pack(df.filter("doc_id >= 304"), strict=True).collect()
+    apart = packing.pack(df.filter("doc_id >= 304"), source=None, strict=True).collect()
     assert len({x.container for x in apart}) == 6
 
 
+def similarity(a, b):
+    runs = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    return len(runs(a) & runs(b)) / len(runs(a) | runs(b))
+
+
+def test_near_duplicates_share_a_cluster(spark):
+    r = random.Random(5)
+    rows = []
+    for i in range(120):
+        words = [f"w{r.randrange(10_000)}" for _ in range(r.randrange(80, 200))]
+        other = list(words)
+        for _ in range(i % 3):
+            other[r.randrange(len(other))] = "changed"
+        rows.append((i, " ".join(words), " ".join(other).upper() + "!"))
+    rows.append((999, "short text", "Short, text"))
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    got = df.select("i", packing.clusters(F.col("a")).alias("a"), packing.clusters(F.col("b")).alias("b")).collect()
+    shared = {x.i: len(set(x.a) & set(x.b)) for x in got}
+    assert all(len(x.a) == packing.HASHES for x in got) and shared[999] == packing.HASHES
+    near = [i for i, a, b in rows[:-1] if similarity(a, b.lower().rstrip("!")) >= 0.8]
+    assert len(near) > 60 and sum(shared[i] > 0 for i in near) >= len(near) - 1
+    assert not set(got[0].a) & set(got[1].a)
+
+
+def test_many_copies_and_one_source_are_packed_in_time():
+    n = 6000
+    place, conflict = packing.best_fit([100] * n, [0] * n, [(0, 1)] * n, 2048)
+    assert len(set(place)) == -(-n // 20) and sum(conflict) == n - len(set(place))
+
+
 def test_share_counts_kept_words_away_from_phrases(spark):
     """A quarter is replaced so that one phrase of three is left; the other kept words stand in ones and twos."""
     items, docs = [], []
@@ -136,3 +172,15 @@ def test_share_counts_kept_words_away_from_phrases(spark):
     text, item = dict(docs), {i: t for i, _, t in items}
     for x in found:
         assert x.share == lcs(item[x.item_id].split(), text[x.doc_id].split()) / len(item[x.item_id].split())
+
+
+def test_every_second_word_after_a_passage_counts(spark):
+    """The first eleven words, one replaced, and then every second word: three quarters of the item, mostly without a phrase."""
+    w = [f"w{k}" for k in range(24)]
+    kept = w[:11] + ["zz"] + [x if k % 2 else "zz" for k, x in enumerate(w[12:])]
+    text = " ".join(kept + ["f"] * 50)
+    share = lcs(w, text.split()) / 24
+    df = spark.createDataFrame([(1, text, "s", 0, "x"), (2, " ".join(w[:11] + ["zz"] * 3 + w[14:22:1] + ["zz"] * 2), "s", 0, "x")], DOC)
+    items = spark.createDataFrame([(1, "en", " ".join(w))], "item_id bigint, lang string, text string")
+    expected = {d for d, t in ((1, text), (2, " ".join(w[:11] + ["zz"] * 3 + w[14:22] + ["zz"] * 2))) if lcs(w, t.split()) >= 18}
+    assert {x.doc_id for x in leaks.leaked(df, items).collect()} == expected and (share >= 0.75) == (1 in expected)
