@@ -52,16 +52,17 @@ def audit(segments: DataFrame, speech: DataFrame, transcribe: Callable[[DataFram
     """(segments, report). transcribe: windows -> the same rows with text_zh and words, null where nothing was heard.
 
     Rows recovered earlier are removed first, so that a second audit gives the same. Without ``transcribe`` recovery is
-    off: the segments come back flagged and the report counts no windows. The report has one row per episode.
+    off: the segments come back flagged and the report counts no windows. The report has one row per episode; which segments
+    are suspect is in their rows (``suspects``).
     """
     original = segments.filter(~F.coalesce("recovered", F.lit(False)))
     flagged = flag_suspects(original, config)
     base = flagged.groupBy(*KEYS).agg(
-        F.count("*").alias("original"), F.count_if("asr_suspect").alias("suspects"), F.count_if(F.array_contains("suspect_reasons", "large_internal_word_gap")).alias("large_gaps"), F.array_sort(F.collect_list(F.when(F.col("asr_suspect"), F.col("id").cast("bigint")))).alias("suspect_ids")
+        F.count("*").alias("original"), F.count_if("asr_suspect").alias("suspects"), F.count_if(F.array_contains("suspect_reasons", "large_internal_word_gap")).alias("large_gaps")
     )
     zero = F.lit(0).cast("bigint")
     if transcribe is None:
-        return flagged, base.select(F.lit(config.audit_version).alias("version"), F.lit(False).alias("enabled"), *KEYS, "original", zero.alias("windows"), zero.alias("recovered"), zero.alias("merged"), zero.alias("rejected"), "suspects", "large_gaps", "suspect_ids")
+        return flagged, base.select(F.lit(config.audit_version).alias("version"), F.lit(False).alias("enabled"), *KEYS, "original", zero.alias("windows"), zero.alias("recovered"), zero.alias("merged"), zero.alias("rejected"), "suspects", "large_gaps")
     # Cut after each step: the windows and what was heard are asked for several times, and a recogniser is paid once.
     windows = durable(recovery_windows(speech, original, config))
     heard = durable(transcribe(windows.select(*KEYS, "start_ms", "end_ms")).filter(F.trim(F.coalesce("text_zh", F.lit(""))) != ""))
@@ -75,7 +76,12 @@ def audit(segments: DataFrame, speech: DataFrame, transcribe: Callable[[DataFram
     verdicts = judged.groupBy(*KEYS).agg(F.count_if(F.col("verdict") == "ok").alias("recovered"), F.count_if(F.col("verdict") != "ok").alias("rejected"))
     kept = merged.groupBy(*KEYS).agg(F.count_if("recovered").alias("merged"))
     report = base.join(counts, KEYS, "left").join(verdicts, KEYS, "left").join(kept, KEYS, "left")
-    return out, report.select(F.lit(config.audit_version).alias("version"), F.lit(True).alias("enabled"), *KEYS, "original", *[F.coalesce(c, zero).alias(c) for c in ("windows", "recovered", "merged", "rejected")], "suspects", "large_gaps", "suspect_ids")
+    return out, report.select(F.lit(config.audit_version).alias("version"), F.lit(True).alias("enabled"), *KEYS, "original", *[F.coalesce(c, zero).alias(c) for c in ("windows", "recovered", "merged", "rejected")], "suspects", "large_gaps")
+
+
+def suspects(segments: DataFrame) -> DataFrame:
+    """series, episode, id of the flagged segments that are suspect."""
+    return segments.filter("asr_suspect").select(*KEYS, F.col("id").cast("bigint").alias("id"))
 
 
 def needs_audit(states: DataFrame, recovery: bool, config: EngineConfig = DEFAULT) -> DataFrame:

@@ -1,16 +1,17 @@
 """Order-dependent folds over the rows of one episode: each step depends on the row kept before it.
 
-An episode is an ordered list of recognised rows; it is the unit in which the fold has a meaning. Long episodes are cut
-first, without changing the result, wherever the fold is known to start afresh; the folds run over what is left in Arrow
-groups, and rows that stand alone never reach Python.
+Rows that are known to stand alone never reach Python. What is left is cut into stretches, wherever a fold is known to start
+afresh, and scanned in order, stretch after stretch, with a state of one row: a stretch is never collected, however long it
+is. A scan sees no words, only times and texts; it says which row each row joins, and the words follow in the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subtide.config import DEFAULT, EngineConfig
@@ -18,33 +19,46 @@ from subtide.functions import words as W
 from subtide.operators import ordered
 
 _WORDS = "array<struct<start_ms:bigint,end_ms:bigint,word:string>>"
-
-
-def cleanup_rows(rows: Sequence[tuple], config: EngineConfig = DEFAULT) -> list[list]:
-    """(start, end, text, words) in order, blank and inverted ones removed -> kept rows as [start, end, text, words]."""
-    kept: list[list] = []
-    for start, end, text, words in rows:
-        last = kept[-1] if kept else None
-        if last is not None:
-            gap = start - last[1]
-            if text == last[2] and gap <= 0:
-                last[1] = max(last[1], end)
-                continue
-            fragment = last[2][-1] in "，、,"
-            if fragment and 0 <= gap <= config.merge_gap_ms and end - last[0] <= config.merge_span_ms and len(last[2]) + len(text) <= config.merge_chars:
-                last[1], last[2], last[3] = end, last[2] + text, last[3] + words
-                continue
-        kept.append([start, end, text, list(words)])
-    return [[w[0]["start_ms"], w[-1]["end_ms"], t, w] if w else [s, e, t, w] for s, e, t, w in kept]
-
-
-def _cleanup(config: EngineConfig):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["position"], kind="stable")
-        rows = [(int(s), int(e), t, [dict(x) for x in w]) for s, e, t, w in zip(group["start_ms"], group["end_ms"], group["text_zh"], group["words"], strict=True)]
-        out = pd.DataFrame(cleanup_rows(rows, config), columns=["start_ms", "end_ms", "text_zh", "words"])
-        first = group.iloc[0]
-        return out.assign(series=first["series"], episode=first["episode"], label=first["label"], n=range(len(out)))[["series", "episode", "label", "n", "start_ms", "end_ms", "text_zh", "words"]]
+#: Marks after which a recognised row goes on in the next one.
+FRAGMENT = "，、,"
+
+
+class CleanupState:
+    """The row kept last in a stretch. ``step`` takes the next row and says whether it is kept, repeats the kept one while
+    that still lasts, or continues it."""
+
+    KEPT, REPEATS, CONTINUES = 0, 1, 2
+
+    def __init__(self, config: EngineConfig = DEFAULT):
+        self.config, self.stretch = config, None
+
+    def step(self, stretch: object, start: int, end: int, text: str) -> int:
+        c = self.config
+        if stretch == self.stretch:
+            silence = start - self.end
+            if silence <= 0 and text == self.text:
+                self.end = max(self.end, end)
+                return self.REPEATS
+            short = len(self.text) + len(text) <= c.merge_chars and end - self.start <= c.merge_span_ms
+            if short and 0 <= silence <= c.merge_gap_ms and self.text[-1] in FRAGMENT:
+                self.end, self.text = end, self.text + text
+                return self.CONTINUES
+        self.stretch, self.start, self.end, self.text = stretch, start, end, text
+        return self.KEPT
+
+
+def _scan(config: EngineConfig):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, kept = CleanupState(config), 0
+        for batch in batches:
+            what, to, upto = [], [], []
+            rows = zip(*[batch.column(c).to_pylist() for c in ("series", "episode", "label", "position", "start_ms", "end_ms", "text_zh")], strict=True)
+            for series, episode, label, position, start, end, text in rows:
+                what.append(state.step((series, episode, label), start, end, text))
+                kept = position if what[-1] == state.KEPT else kept
+                to.append(kept)
+                upto.append(state.end)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(what, pa.int32()), pa.array(to, pa.int64()), pa.array(upto, pa.int64())], names=[*batch.schema.names, "what", "kept", "upto"])
 
     return run
 
@@ -55,68 +69,70 @@ def cleanup(segments: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     Rows are taken in the order of pos (equal ones by start). Texts are trimmed, starts before 0 count as 0; blank rows
     and rows without a positive length are dropped; null words count as none. Where words exist, a row gets their times.
     """
-    rows = segments.select("series", "episode", "pos", F.greatest(F.lit(0), F.col("start_ms")).alias("start_ms"), "end_ms", F.trim("text_zh").alias("text_zh"), W.present(F.col("words")).alias("words"))
+    keys = ["series", "episode"]
+    rows = segments.select(*keys, "pos", F.greatest(F.lit(0), F.col("start_ms")).alias("start_ms"), "end_ms", F.trim("text_zh").alias("text_zh"), W.present(F.col("words")).alias("words"))
     rows = rows.filter("text_zh <> '' and start_ms is not null and end_ms > start_ms")
     order = ["pos", "start_ms", "end_ms"]
-    near = ordered.neighbours(rows, ["series", "episode"], order, ["text_zh"])
-
-    def joins(before, text):
-        """A row can only join what was kept before it if the row before ends in a fragment mark, or if its own text ends
-        with that row's: the kept text is the one before, or a joined text that ends with it."""
-        return F.coalesce(before.rlike("[，、,]$") | text.endswith(before), F.lit(False))
-
-    here = joins(F.col("before.text_zh"), F.col("text_zh"))
-    near = near.withColumn("joined", here | joins(F.col("text_zh"), F.col("after.text_zh")))
-    same = ordered.plain(ordered.labels(near, order, F.col("before").isNull() | ~here))
-    columns = ["series", "episode", "label", "n", "start_ms", "end_ms", "text_zh", "words"]
-    done = same.select("series", "episode", "label", "position", "start_ms", "end_ms", "text_zh", "words", "joined")
-    alone = done.filter("not joined").select("series", "episode", "label", F.lit(0).cast("bigint").alias("n"), F.coalesce(F.get("words", F.lit(0))["start_ms"], F.col("start_ms")).alias("start_ms"), F.coalesce(F.try_element_at("words", F.lit(-1))["end_ms"], F.col("end_ms")).alias("end_ms"), "text_zh", "words")
-    folded = done.filter("joined").drop("joined").groupBy("series", "episode", "label").applyInPandas(_cleanup(config), f"series string, episode string, label bigint, n bigint, start_ms bigint, end_ms bigint, text_zh string, words {_WORDS}")
-    folded = alone.select(*columns).unionByName(folded)
-    numbered = ordered.plain(ordered.neighbours(folded, ["series", "episode"], ["label", "n"], ["n"]))
-    return numbered.select("series", "episode", F.col("position").cast("bigint").alias("id"), "start_ms", "end_ms", "text_zh", "words")
-
-
-def merge_recovered_rows(rows: Sequence[dict]) -> list[dict]:
-    """Rows of one episode sorted by (start, id) -> with recovered ones clipped between their neighbours.
-
-    A recovered row with words keeps what lies after the end of the row emitted before it and before the start of the
-    next; other rows are copied. Rows without a positive length are dropped.
-    """
-    out: list[dict] = []
-    low = 0
-    for i, row in enumerate(rows):
-        row = dict(row)
-        high = rows[i + 1]["start_ms"] if i + 1 < len(rows) else None
-        if row["recovered"] and row["words"]:
-            clipped = []
-            for w in row["words"]:
-                s = max(low, w["start_ms"])
-                e = w["end_ms"] if high is None else min(high, w["end_ms"])
-                if e > s:
-                    clipped.append({"start_ms": s, "end_ms": e, "word": w["word"]})
-            if not clipped:
-                continue
-            row |= {"words": clipped, "start_ms": clipped[0]["start_ms"], "end_ms": clipped[-1]["end_ms"], "text_zh": "".join(w["word"] or "" for w in clipped).strip()}
-        if row["end_ms"] <= row["start_ms"]:
-            continue
-        out.append(row)
-        low = row["end_ms"]
-    return out
-
-
-def _merge(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["start_ms", "id"], kind="stable")
-    rows = [r | {"words": [dict(w) for w in r["words"]]} for r in group.to_dict("records")]
-    out = merge_recovered_rows(rows)
-    return pd.DataFrame(out, columns=list(group.columns)) if out else group.head(0)
+    near = ordered.neighbours(rows, keys, order, ["start_ms", "end_ms", "text_zh"])
+
+    def may_join(a: Column, b: Column) -> Column:
+        """Whether row b can join what was kept up to the row a before it. What was kept ends with a's text, begins no later
+        than a and ends no earlier, so limits that a alone breaks are broken."""
+        x, y = a["text_zh"], b["text_zh"]
+        goes_on = x.rlike(f"[{FRAGMENT}]$") & (F.length(x) + F.length(y) <= config.merge_chars) & (b["end_ms"] - a["start_ms"] <= config.merge_span_ms) & (b["start_ms"] >= a["end_ms"])
+        return F.coalesce(goes_on | y.endswith(x), F.lit(False))
+
+    own = F.struct("start_ms", "end_ms", "text_zh")
+    here = may_join(F.col("before"), own)
+    near = near.withColumns({"joined": here | may_join(own, F.col("after")), "here": here})
+    done = ordered.plain(ordered.labels(near, order, ~F.col("here"))).select(*keys, "label", F.col("position").cast("bigint").alias("position"), "start_ms", "end_ms", "text_zh", "words", "joined")
+    some = done.filter("joined").drop("joined").withColumn("label", F.coalesce("label", F.lit(0)).cast("bigint"))
+    some = some.repartition(*keys, "label").sortWithinPartitions(*keys, "label", "position")
+    scanned = some.mapInArrow(_scan(config), f"series string, episode string, label bigint, position bigint, start_ms bigint, end_ms bigint, text_zh string, words {_WORDS}, what int, kept bigint, upto bigint")
+    part = F.when(F.col("what") != CleanupState.REPEATS, F.struct("position", "text_zh", "words"))
+    merged = scanned.groupBy(*keys, "kept").agg(F.min_by("start_ms", "position").alias("start_ms"), F.max_by("upto", "position").alias("end_ms"), F.array_sort(F.collect_list(part)).alias("parts"))  # as many as merge_chars
+    texts, words = F.array_join(F.transform("parts", lambda p: p["text_zh"]), ""), F.flatten(F.transform("parts", lambda p: p["words"]))
+    merged = merged.select(*keys, F.col("kept").alias("position"), "start_ms", "end_ms", texts.alias("text_zh"), words.alias("words"))
+    alone = done.filter("not joined").select(*keys, "position", "start_ms", "end_ms", "text_zh", "words")
+    numbered = ordered.plain(ordered.neighbours(alone.unionByName(merged), keys, ["position"], ["position"]).withColumnRenamed("position", "id"))
+    return numbered.select(*keys, F.col("id").cast("bigint").alias("id"), W.span(F.col("start_ms"), F.col("end_ms"), F.col("words")).alias("s"), "text_zh", "words").select(*keys, "id", "s.start_ms", "s.end_ms", "text_zh", "words")
+
+
+def clip_words(words: Sequence[dict], low: int, high: int | None) -> list[dict]:
+    """The words that lie after low and before high, cut to these."""
+    cut = [{"start_ms": max(low, w["start_ms"]), "end_ms": w["end_ms"] if high is None else min(high, w["end_ms"]), "word": w["word"]} for w in words]
+    return [w for w in cut if w["end_ms"] > w["start_ms"]]
+
+
+_ROW = ["series", "episode", "id", "start_ms", "end_ms", "text_zh", "words", "recovered"]
+
+
+def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    stretch, low = None, 0
+    for batch in batches:
+        out = []
+        for row in batch.to_dict("records"):
+            key = (row["series"], row["episode"], row["label"])
+            if key != stretch:
+                stretch, low = key, 0
+            if row["recovered"] and len(row["words"]):
+                words = clip_words([dict(w) for w in row["words"]], low, None if pd.isna(row["high"]) else int(row["high"]))
+                if not words:
+                    continue
+                row |= {"words": words, "start_ms": words[0]["start_ms"], "end_ms": words[-1]["end_ms"], "text_zh": "".join(w["word"] or "" for w in words).strip()}
+            if row["end_ms"] > row["start_ms"]:
+                out.append([row[c] for c in _ROW])
+                low = row["end_ms"]
+        yield pd.DataFrame(out, columns=_ROW)
 
 
 def merge_recovered(segments: DataFrame, recovered: DataFrame) -> DataFrame:
     """series, episode, id, start_ms, end_ms, text_zh, words, recovered: both in the order of (start, id).
 
-    Recovered rows get ids after the episode's largest, in order of start. Only stretches that hold a recovered row, and
-    the rows around them, are folded; an original row that isn't near one passes through.
+    Recovered rows get ids after the episode's largest, in order of start. One with words keeps what lies after the end of the
+    row emitted before it and before the start of the next; other rows are kept as they are. Rows without a positive length
+    are dropped, also where nothing of a recovered row is left. Only stretches that hold a recovered row are scanned, with a
+    state of one row; an original row that isn't near one passes through.
     """
     keys = ["series", "episode"]
     base = segments.filter("start_ms is not null and end_ms > start_ms").select(*keys, F.col("id").cast("bigint").alias("id"), "start_ms", "end_ms", "text_zh", W.present(F.col("words")).alias("words"), F.lit(False).alias("recovered"))
@@ -124,30 +140,12 @@ def merge_recovered(segments: DataFrame, recovered: DataFrame) -> DataFrame:
     new = recovered.filter("start_ms is not null and end_ms > start_ms").select(*keys, "start_ms", "end_ms", "text_zh", W.present(F.col("words")).alias("words"))
     numbered = ordered.plain(ordered.neighbours(new, keys, ["start_ms", "end_ms", "text_zh"], ["start_ms"], 3_600_000)).join(top, keys, "left")
     new = numbered.select(*keys, (F.coalesce("__top", F.lit(0)) + F.col("position")).cast("bigint").alias("id"), "start_ms", "end_ms", "text_zh", "words", F.lit(True).alias("recovered"))
-    every = base.unionByName(new)
     order = ["start_ms", "id"]
-    near = ordered.neighbours(every, keys, order, ["recovered"], 3_600_000)
-    # A stretch begins at an original row: whatever follows depends on its end alone, which the fold never changes.
-    begins = ~F.col("recovered")
-    same = ordered.labels(near, order, begins)
+    near = ordered.neighbours(base.unionByName(new), keys, order, ["recovered", "start_ms"], 3_600_000)
+    # A stretch begins at an original row: whatever follows depends on its end alone, which no later row changes.
+    same = ordered.plain(ordered.labels(near, order, ~F.col("recovered")))
     touches = F.col("recovered") | F.coalesce(F.col("after.recovered"), F.lit(False))
-    # Each stretch also needs the start of the original row after it, as a bound.
-    follow = ordered.plain(same).withColumns({"label": F.coalesce("label", F.lit(0)), "touches": touches})
-    columns = [*keys, "id", "start_ms", "end_ms", "text_zh", "words", "recovered"]
-    bounded = follow.filter("touches")
-    after = follow.filter("not recovered").select(*keys, F.col("position").alias("__l"), F.col("start_ms").alias("__bound"))
-    ends = bounded.groupBy(*keys, "label").agg(F.max("position").alias("__end"))
-    bound = ends.select(*keys, "label", (F.col("__end") + 1).alias("__l")).join(after, [*keys, "__l"], "left").select(*keys, "label", F.col("__bound").alias("bound"))
+    follow = same.select(*_ROW, F.coalesce("label", F.lit(0)).cast("bigint").alias("label"), F.col("after.start_ms").alias("high"), touches.alias("touches"))
     schema = f"series string, episode string, id bigint, start_ms bigint, end_ms bigint, text_zh string, words {_WORDS}, recovered boolean"
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        limit = group["bound"].iloc[0]
-        body = group[columns]
-        if limit == limit and limit is not None:
-            stop = {c: body[c].iloc[0] for c in keys} | {"id": 2**62, "start_ms": int(limit), "end_ms": int(limit) + 1, "text_zh": "", "words": [], "recovered": False}
-            body = pd.concat([body, pd.DataFrame([stop])], ignore_index=True)
-        out = _merge(body)
-        return out[out["id"] != 2**62]
-
-    folded = bounded.join(bound, [*keys, "label"], "left").select(*columns, "label", "bound").groupBy(*keys, "label").applyInPandas(fold, schema)
-    return follow.filter("not touches").select(*columns).unionByName(folded)
+    scanned = follow.filter("touches").drop("touches").repartition(*keys, "label").sortWithinPartitions(*keys, "label", *order).mapInPandas(_merge, schema)
+    return follow.filter("not touches").select(*_ROW).unionByName(scanned)

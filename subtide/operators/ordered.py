@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 4096
 _INNER = ("__k", "__b")
@@ -24,9 +25,12 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry:
     """``df`` with before and after (structs of ``carry`` from the rows next to each, null at the ends) and position.
 
     ``order``: columns that order the rows of an entity, the first a number, which also sets the blocks; null orders
-    come first. Null keys are an entity of their own. Keeps two inner columns for ``labels``; ``plain`` drops them.
+    come first, in blocks of the next column if that is a number. Null keys are an entity of their own. Keeps two inner columns
+    for ``labels``; ``plain`` drops them.
     """
-    keyed = df.withColumns({"__k": F.to_json(F.struct(*[F.col(f"`{k}`") for k in keys]), {"ignoreNullFields": "false"}), "__b": F.coalesce(F.floor(F.col(order[0]) / block), F.lit(-(2**53)))})
+    numeric = len(order) > 1 and isinstance(df.schema[order[1]].dataType, T.IntegralType)
+    unset = F.coalesce(F.floor(F.col(order[1]) / block), F.lit(-(2**51))) if numeric else F.lit(0)
+    keyed = df.withColumns({"__k": F.to_json(F.struct(*[F.col(f"`{k}`") for k in keys]), {"ignoreNullFields": "false"}), "__b": F.coalesce(F.floor(F.col(order[0]) / block), F.lit(-(2**53)) + unset)})
     inside, blocks = _windows(order)
     item = F.struct(*[F.col(f"`{c}`") for c in carry])
     here = keyed.withColumns({"__n": F.row_number().over(inside), "__before": F.lag(item).over(inside), "__after": F.lead(item).over(inside), "__head": F.first(item).over(inside), "__last": F.lead(F.lit(1)).over(inside).isNull()})

@@ -11,6 +11,7 @@ from subtide.config import DEFAULT, EngineConfig
 from subtide.functions import words as W
 from subtide.operators import ordered
 from subtide.operators.periods import periods_and_gaps
+from subtide.session import durable
 
 HOUR_MS = 3_600_000
 
@@ -27,43 +28,49 @@ def islands(df: DataFrame, keys: Sequence[str], gap_ms: int, tie: Sequence[str]
     return out.withColumnRenamed("label", "island")
 
 
-def union_intervals(df: DataFrame, keys: Sequence[str], join_ms: int = 0) -> DataFrame:
+def union_intervals(df: DataFrame, keys: Sequence[str], join_ms: int = 0, tie: str | None = None) -> DataFrame:
     """keys, start_ms, end_ms, n: the union, where intervals no more than ``join_ms`` apart are joined. Intervals of no
-    length and null times are ignored."""
-    longer = df.select(*keys, "start_ms", (F.col("end_ms") + join_ms).alias("end_ms"), F.col("end_ms").alias("__end")).filter("__end > start_ms")
-    out = periods_and_gaps(longer, keys).filter("kind = 'period'")
+    length and null times are ignored. ``tie``: a column that spreads equal intervals over partitions."""
+    extra = [F.col(tie).alias("__tie")] if tie else []
+    longer = df.select(*keys, "start_ms", (F.col("end_ms") + join_ms).alias("end_ms"), F.col("end_ms").alias("__end"), *extra).filter("__end > start_ms")
+    out = periods_and_gaps(longer, keys, tie="__tie" if tie else None).filter("kind = 'period'")
     return out.select(*keys, "start_ms", (F.col("end_ms") - join_ms).alias("end_ms"), F.col("n_rows").alias("n"))
 
 
-def subtract_intervals(df: DataFrame, cover: DataFrame, keys: Sequence[str], ident: str, min_ms: int = 0, block: int = HOUR_MS) -> DataFrame:
+def subtract_intervals(df: DataFrame, cover: DataFrame, keys: Sequence[str], ident: str, min_ms: int = 0, block: int = HOUR_MS, tie: str | None = None) -> DataFrame:
     """keys, ident, start_ms, end_ms: what the cover leaves of each interval of ``df``, in pieces of ``min_ms`` at least.
 
-    The cover is first reduced to disjoint periods, and both sides are cut at the borders of time blocks, so the join is
-    an equi-join on entity and block with few rows on either side of each; intervals of ``df`` shorter than ``min_ms``
-    are dropped before it. Null keys match null keys.
+    One carried sweep over the cover gives its periods and gaps; a piece is what an interval shares with one gap, or what lies
+    before the first period or after the last. Intervals and gaps meet in an equi-join on entity and time block, and the
+    first block that a pair shares reports it. Intervals of ``df`` shorter than ``min_ms`` are dropped first. Null keys match
+    null keys; an interval of an entity without cover is left whole; repeated rows of one ident give their pieces each.
+    ``tie``: a column of the cover that spreads equal intervals over partitions.
     """
-    own = df.filter(F.col("end_ms") - F.col("start_ms") >= max(1, min_ms)).select(*keys, ident, "start_ms", "end_ms")
-    disjoint = union_intervals(cover.filter("end_ms > start_ms"), keys)
+    least = max(1, min_ms)
     k = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("__k")
+    own = df.filter(F.col("end_ms") - F.col("start_ms") >= least).select(k, *keys, ident, "start_ms", "end_ms")
+    swept = durable(periods_and_gaps(cover.select(*keys, "start_ms", "end_ms", *([tie] if tie else [])), keys, tie=tie).select(k, "kind", F.col("start_ms").alias("cs"), F.col("end_ms").alias("ce")))
+    edges = swept.filter("kind = 'period'").groupBy("__k").agg(F.min("cs").alias("first"), F.max("ce").alias("last"))
+    outer = own.join(edges, "__k", "left")
+    ends = F.when(F.col("first").isNull(), F.array(F.struct(F.col("start_ms").alias("s"), F.col("end_ms").alias("e")))).otherwise(
+        F.array(F.struct(F.col("start_ms").alias("s"), F.least("end_ms", "first").alias("e")), F.struct(F.greatest("start_ms", "last").alias("s"), F.col("end_ms").alias("e")))
+    )
+    outer = outer.select(*keys, ident, F.inline(ends))
     blocks = lambda s, e: F.explode(F.sequence(F.floor(s / block), F.floor((e - 1) / block)))
-    a = own.select(k, ident, *keys, F.col("start_ms").alias("s"), F.col("end_ms").alias("t"), blocks(F.col("start_ms"), F.col("end_ms")).alias("__b"))
-    b = disjoint.select(k, F.col("start_ms").alias("cs"), F.col("end_ms").alias("ce"), blocks(F.col("start_ms"), F.col("end_ms")).alias("__b"))
-    a = a.withColumns({"s": F.greatest("s", F.col("__b") * block), "t": F.least("t", (F.col("__b") + 1) * block)})
-    hit = F.when((F.col("cs") < F.col("t")) & (F.col("ce") > F.col("s")), F.struct(F.greatest("cs", "s").alias("a"), F.least("ce", "t").alias("z")))
-    per = a.join(b, ["__k", "__b"], "left").groupBy("__k", "__b", *keys, ident, "s", "t").agg(F.array_sort(F.collect_set(hit)).alias("holes"))  # of one block
-    starts = F.concat(F.array(F.col("s")), F.transform("holes", lambda h: h["z"]))
-    ends = F.concat(F.transform("holes", lambda h: h["a"]), F.array(F.col("t")))
-    left = per.select(*keys, ident, F.inline(F.arrays_zip(starts.alias("start_ms"), ends.alias("end_ms")))).filter("end_ms > start_ms")
-    whole = union_intervals(left, [*keys, ident])  # pieces that touch at a border of blocks become one
-    return whole.filter(F.col("end_ms") - F.col("start_ms") >= max(1, min_ms)).select(*keys, ident, "start_ms", "end_ms")
-
-
-def uncovered_windows(speech: DataFrame, segments: DataFrame, keys: Sequence[str], config: EngineConfig = DEFAULT) -> DataFrame:
+    gaps = swept.filter((F.col("kind") == "gap") & (F.col("ce") - F.col("cs") >= least)).select("__k", "cs", "ce", blocks(F.col("cs"), F.col("ce")).alias("__b"))
+    cut = own.withColumn("__b", blocks(F.col("start_ms"), F.col("end_ms")))
+    s, e = F.greatest("start_ms", "cs"), F.least("end_ms", "ce")
+    inner = cut.join(gaps, ["__k", "__b"]).filter((e > s) & (F.col("__b") == F.floor(s / block))).select(*keys, ident, s.alias("s"), e.alias("e"))
+    whole = outer.unionByName(inner)
+    return whole.filter(F.col("e") - F.col("s") >= least).select(*keys, ident, F.col("s").alias("start_ms"), F.col("e").alias("end_ms"))
+
+
+def uncovered_windows(speech: DataFrame, segments: DataFrame, keys: Sequence[str], config: EngineConfig = DEFAULT, tie: str | None = None) -> DataFrame:
     """keys, start_ms, end_ms: speech that no segment covers, padded and joined. Each speech interval is subtracted on
     its own; intervals of equal bounds count once."""
     own = speech.filter(f"end_ms - start_ms >= {config.min_speech_ms}").select(*keys, "start_ms", "end_ms").distinct()
     own = own.withColumn("__id", F.xxhash64("start_ms", "end_ms"))
-    left = subtract_intervals(own, segments, keys, "__id", config.min_uncovered_ms)
+    left = subtract_intervals(own, segments, keys, "__id", config.min_uncovered_ms, tie=tie)
     padded = left.select(*keys, F.greatest(F.lit(0), F.col("start_ms") - config.window_pad_ms).alias("start_ms"), (F.col("end_ms") + config.window_pad_ms).alias("end_ms"))
     return union_intervals(padded, keys, config.window_join_ms).select(*keys, "start_ms", "end_ms")
 

@@ -145,7 +145,7 @@ def srt_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Cues written as SRT texts and read back."""
     rows = tables.valid_times(_cues(spark, folder, "id", "start_ms", "end_ms", "text"))
     clean = rows.withColumn("text", F.trim(F.regexp_replace("text", r"\s*\n\s*", "\n")))
-    return files.parse_srt(sinks.srt_texts(clean, KEYS, "id"), KEYS, "srt").select(*KEYS, "id", "start_ms", "end_ms", "text")
+    return files.parse_srt(sinks.srt_texts(clean, KEYS, "id"), [*KEYS, "part"], "srt").select(*KEYS, "id", "start_ms", "end_ms", "text")
 
 
 def natural_order(spark: SparkSession, folder: str) -> DataFrame:

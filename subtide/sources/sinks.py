@@ -13,23 +13,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subtide.functions import text as X
+from subtide.operators import ordered
 
 
-def srt_texts(cues: DataFrame, keys: list[str], order: str, text: str = "text", renumber: bool = True) -> DataFrame:
-    """keys, srt: the whole SRT text of each episode; blank cues are left out before numbering."""
-    rows = cues.filter(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
-    item = F.struct(F.col(order).alias("o"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.col(text).alias("t"))
-    rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("c"))  # one output file's content
+#: So many cues are one part of an SRT text.
+PART_CUES = 1000
+
 
-    def block(x, i):
-        number = (i + 1) if renumber else x["o"]
-        return F.concat(number.cast("string"), F.lit("\n"), X.time_text(x["s"]), F.lit(" --> "), X.time_text(x["e"]), F.lit("\n"), x["t"], F.lit("\n"))
+def srt_texts(cues: DataFrame, keys: list[str], order: str, text: str = "text", renumber: bool = True) -> DataFrame:
+    """keys, part, srt: the SRT text of each episode in parts of PART_CUES cues, in order; a newline joins two parts.
 
-    return rows.select(*keys, F.array_join(F.transform("c", block), "\n").alias("srt"))
+    Blank cues are left out before numbering. An episode of any length is never in one row.
+    """
+    rows = cues.filter(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").select(*keys, F.col(order).alias("o"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.col(text).alias("t"))
+    rows = ordered.plain(ordered.neighbours(rows, keys, ["o", "s"], ["o"]))
+    number = F.col("position") if renumber else F.col("o")
+    block = F.concat(number.cast("string"), F.lit("\n"), X.time_text(F.col("s")), F.lit(" --> "), X.time_text(F.col("e")), F.lit("\n"), F.col("t"), F.lit("\n"))
+    blocks = rows.select(*keys, F.floor((F.col("position") - 1) / PART_CUES).alias("part"), F.struct("position", block.alias("b")).alias("x"))
+    return blocks.groupBy(*keys, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "\n").alias("srt"))
 
 
 def write_srt(cues: DataFrame, path: str, keys: list[str], order: str, text: str = "text") -> None:
-    srt_texts(cues, keys, order, text).write.mode("overwrite").partitionBy(*keys).option("lineSep", "\n").text(path)
+    """One SRT file per episode, below a folder per key; its parts are written one after the other."""
+    parts = srt_texts(cues, keys, order, text).repartition(*keys).sortWithinPartitions(*keys, "part")
+    parts.select(*keys, "srt").write.mode("overwrite").partitionBy(*keys).option("lineSep", "\n").text(path)
 
 
 def write_reports(reports: DataFrame, path: str, keys: list[str]) -> None:
