@@ -85,7 +85,8 @@ class Retrying:
 
 #: What an error of exhausted memory says.
 OUT_OF_MEMORY = ("out of memory", "cuda_error_out_of_memory", "cudaerror_memoryallocation", "cublas_status_alloc_failed", "failed to allocate", "not enough memory")
-LADDER = (("large-v3", "float16"), ("large-v3", "int8_float16"), ("medium", "int8_float16"))
+#: Models and number formats, the most demanding first.
+LADDER = (("large-v3", "float16"), ("large-v3", "int8_float16"), ("medium", "float16"))
 
 
 def with_ladder(load: Callable[[str, str], object], run: Callable[[object], object], ladder: Sequence[tuple[str, str]] = LADDER) -> object:

@@ -25,11 +25,6 @@ def flag_suspects(segments: DataFrame, config: EngineConfig = DEFAULT) -> DataFr
     return out.drop("__f")
 
 
-def recognition_suspect(text: Column, avg_logprob: Column, no_speech_prob: Column) -> Column:
-    """A character repeated, or a recogniser that was in doubt."""
-    return X.repeated_character(text) | (F.coalesce(avg_logprob, F.lit(0.0)) < -1) | (F.coalesce(no_speech_prob, F.lit(0.0)) > 0.6)
-
-
 def recovery_verdict(text: Column, neighbours: Column, max_unit: int = 3, min_repeats: int = 3) -> Column:
     """'ok', or why a recovered text is not: the first rule that applies. neighbours: array<string>."""
     bare = lambda t: F.regexp_replace(F.coalesce(t, F.lit("")), r"(?U)\s", "")

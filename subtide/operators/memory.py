@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -128,69 +128,111 @@ def matched_terms(text: Column, pattern: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, pattern, F.lit(0)))
 
 
-def _trie_matcher(entries: dict[str | None, list[str]]):
+TRIE_CHARS = 8_000_000
+
+
+def _trie(terms: Iterable[str]) -> dict:
+    root: dict = {}
+    for term in terms:
+        node = root
+        for ch in term:
+            node = node.setdefault(ch, {})
+        node[""] = term
+    return root
+
+
+def _found(root: dict, text: str, every: bool) -> dict[tuple[int, str], None]:
+    """(place, term): at each place the longest term that begins there, or every one."""
+    out: dict[tuple[int, str], None] = {}
+    for i in range(len(text)):
+        node, j, best = root, i, None
+        while j < len(text) and (node := node.get(text[j])) is not None:
+            j += 1
+            if "" in node:
+                best = node[""]
+                if every:
+                    out[i, best] = None
+        if best is not None and not every:
+            out[i, best] = None
+    return out
+
+
+def _matcher(entries: dict[str | None, list[str]], every: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tries: dict = {}
-        for series, terms in entries.items():
-            root: dict = {}
-            for term in terms:
-                node = root
-                for ch in term:
-                    node = node.setdefault(ch, {})
-                node[""] = term
-            tries[series] = root
+        tries = {series: _trie(terms) for series, terms in entries.items()}
         for batch in batches:
-            found = []
-            for series, text in zip(batch["series"], batch["text"], strict=True):
-                root, hits, i = tries.get(series), {}, 0
-                while root and text and i < len(text):
-                    node, best, j = root, None, i
-                    while j < len(text) and text[j] in node:
-                        node, j = node[text[j]], j + 1
-                        best = node.get("", best)
-                    if best:
-                        hits[best] = None
-                    i += len(best) if best else 1
-                found.append(list(hits))
-            yield pd.DataFrame({"series": batch["series"], "text": batch["text"], "terms": found})
+            hits = [[{"at": at, "term": term} for at, term in _found(tries.get(series, {}), text or "", every)] for series, text in zip(batch["series"], batch["text"], strict=True)]
+            yield pd.DataFrame({"series": batch["series"], "text": batch["text"], "hits": hits})
 
     return run
 
 
+def _blocks(entries: DataFrame) -> Iterator[dict[str | None, list[str]]]:
+    """The terms of all dictionaries in blocks of bounded size; a large dictionary is spread over several blocks."""
+    block: dict[str | None, list[str]] = {}
+    size = 0
+    for row in entries.filter("source is not null and source <> ''").select("series", "source").toLocalIterator():
+        if size > TRIE_CHARS:
+            yield block
+            block, size = {}, 0
+        block.setdefault(row.series, []).append(row.source)
+        size += len(row.source)
+    if block:
+        yield block
+
+
+def trie_hits(texts: DataFrame, entries: DataFrame, every: bool = False) -> DataFrame:
+    """series, text, hits (array of at and term) of distinct (series, text): per block of the dictionary, what begins where.
+
+    The blocks stand in for a broadcast of bounded size: each is shipped to the tasks and meets all texts; a text may come
+    out once per block. ``every``: all terms that a text holds, not only the longest at a place.
+    """
+    hits = None
+    for block in _blocks(entries):
+        part = texts.select("series", "text").mapInPandas(_matcher(block, every), "series string, text string, hits array<struct<at:int,term:string>>").filter("size(hits) > 0")
+        hits = part if hits is None else hits.unionByName(part)
+    return hits if hits is not None else texts.select("series", "text", F.array().cast("array<struct<at:int,term:string>>").alias("hits")).limit(0)
+
+
+def contained(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """series, text, term: every dictionary term that stands in a distinct (series, text)."""
+    return trie_hits(texts, entries, every=True).select("series", "text", F.explode("hits").alias("h")).select("series", "text", F.col("h.term").alias("term")).distinct()
+
+
+def _longest(hits: DataFrame) -> DataFrame:
+    """series, text, term: what a scan from left to right takes, the longest at each place, each once."""
+    every = hits.groupBy("series", "text").agg(F.flatten(F.collect_list("hits")).alias("h"))  # at most one per place and block
+    ordered = F.array_sort(F.transform("h", lambda x: F.struct(x["at"].alias("at"), (-F.length(x["term"])).alias("n"), x["term"].alias("term"))))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("taken"))
+    take = lambda s, x: F.when(x["at"] >= s["end"], F.struct((x["at"] - x["n"]).alias("end"), F.array_append(s["taken"], x["term"]).alias("taken"))).otherwise(s)
+    return every.select("series", "text", F.explode(F.array_distinct(F.aggregate(ordered, start, take, lambda s: s["taken"]))).alias("term"))
+
+
 def resolve(texts: DataFrame, entries: DataFrame, text: str = "text_zh") -> DataFrame:
     """series, text, term, en, authority: the dictionary terms in each distinct (series, text), matched longest first.
 
     The text is normalised for matching and returned as given. Each distinct text is resolved once. Series whose
-    dictionary has up to PATTERN_TERMS entries are matched by one pattern; larger ones by a trie, whose entries are
-    shipped to the tasks, at most TRIE_CHARS characters of them at a time.
+    dictionary has up to PATTERN_TERMS entries are matched by one pattern, larger ones by tries over blocks of bounded size;
+    both ways give the same (``dictionary_resolve`` and ``dictionary_trie`` are held against one SQL text).
     """
     distinct = texts.filter(F.col(text).isNotNull()).select("series", F.col(text).alias("text")).distinct()
     distinct = distinct.withColumn("plain", X.nfkc(F.col("text")))
     sizes = entries.groupBy("series").agg(F.count("*").alias("n"))
     small = entries.join(sizes.filter(F.col("n") <= PATTERN_TERMS).select("series"), "series", "left_semi")
     hits = distinct.join(patterns(small), "series").select("series", "text", F.explode(matched_terms(F.col("plain"), F.col("pattern"))).alias("term"))
-    for block in _blocks(entries.join(sizes.filter(F.col("n") > PATTERN_TERMS).select("series"), "series", "left_semi")):
-        part = distinct.filter(F.col("series").isin(*block)).select("series", "text", "plain")
-        found = part.select("series", F.col("plain").alias("text")).distinct().mapInPandas(_trie_matcher(block), "series string, text string, terms array<string>")
-        hits = hits.unionByName(part.join(found.withColumnRenamed("text", "plain"), ["series", "plain"]).select("series", "text", F.explode("terms").alias("term")))
+    large = entries.join(sizes.filter(F.col("n") > PATTERN_TERMS).select("series"), "series", "left_semi")
+    if not large.isEmpty():
+        own = distinct.join(large.select("series").distinct(), "series", "left_semi")
+        found = _longest(trie_hits(own.select("series", F.col("plain").alias("text")).distinct(), large)).withColumnRenamed("text", "plain")
+        hits = hits.unionByName(own.join(found, ["series", "plain"]).select("series", "text", "term"))
     return hits.join(entries.withColumnRenamed("source", "term"), ["series", "term"]).select("series", "text", "term", "en", "authority")
 
 
-TRIE_CHARS = 8_000_000
-
-
-def _blocks(entries: DataFrame) -> Iterator[dict[str | None, list[str]]]:
-    """Dictionaries of whole series, of bounded size together; one series is at most one block."""
-    block: dict[str | None, list[str]] = {}
-    size = 0
-    for row in entries.select("series", "source").orderBy("series").toLocalIterator():
-        if size > TRIE_CHARS and row.series not in block:
-            yield block
-            block, size = {}, 0
-        block.setdefault(row.series, []).append(row.source)
-        size += len(row.source)
-    if block:
-        yield block
+def resolve_by_trie(texts: DataFrame, entries: DataFrame, text: str = "text_zh") -> DataFrame:
+    """As ``resolve``, every series by tries."""
+    distinct = texts.filter(F.col(text).isNotNull()).select("series", F.col(text).alias("text")).distinct().withColumn("plain", X.nfkc(F.col("text")))
+    found = _longest(trie_hits(distinct.select("series", F.col("plain").alias("text")).distinct(), entries)).withColumnRenamed("text", "plain")
+    return distinct.join(found, ["series", "plain"]).select("series", "text", "term").join(entries.withColumnRenamed("source", "term"), ["series", "term"]).select("series", "text", "term", "en", "authority")
 
 
 def authority_counts(resolved: DataFrame, texts: DataFrame, text: str = "text_zh") -> DataFrame:
@@ -208,11 +250,10 @@ def missing_terms(pairs: DataFrame, entries: DataFrame, ident: str, source: str
     hard = entries.filter(F.col("authority").isin(*HARD))
     rows = pairs.filter(F.col(source).isNotNull() & F.col(en).isNotNull()).select(ident, "series", F.col(source).alias("text"), F.col(en).alias("__en"))
     if longest_match:
-        found = resolve(rows, entries, "text").filter(F.col("authority").isin(*HARD)).withColumnRenamed("en", "expected").drop("authority")
-        met = rows.join(found, ["series", "text"])
+        found = resolve(rows, entries, "text").filter(F.col("authority").isin(*HARD))
     else:
-        listed = hard.groupBy("series").agg(F.collect_list(F.struct(F.col("source").alias("term"), F.col("en").alias("expected"))).alias("__d"))
-        met = rows.join(listed, "series").withColumn("__h", F.filter("__d", lambda d: F.col("text").contains(d["term"]))).select(ident, "series", "text", "__en", F.inline("__h"))
+        found = contained(rows.select("series", "text").distinct(), hard).join(hard.withColumnRenamed("source", "term"), ["series", "term"])
+    met = rows.join(found.select("series", "text", "term", F.col("en").alias("expected")), ["series", "text"])
     return met.filter(~F.col("__en").contains(F.col("expected"))).select(ident, "term", "expected")
 
 

@@ -40,13 +40,8 @@ def dictionary_resolve(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dictionary_trie(spark: SparkSession, folder: str) -> DataFrame:
-    """J1 as for dictionaries too large for one pattern: the number of texts of each term."""
-    texts = _texts(spark, folder).filter("text_zh is not null").select("series", X.nfkc(F.col("text_zh")).alias("text")).distinct()
-    out = None
-    for block in M._blocks(_hard(spark, folder)):
-        part = texts.filter(F.col("series").isin(*block)).mapInPandas(M._trie_matcher(block), "series string, text string, terms array<string>")
-        out = part if out is None else out.unionByName(part)
-    return out.select("series", F.explode("terms").alias("term")).groupBy("series", "term").agg(F.count("*").alias("n"))
+    """J1 as for dictionaries too large for one pattern: the same rows as dictionary_resolve."""
+    return M.resolve_by_trie(_texts(spark, folder), _hard(spark, folder)).select("series", "text", "term", "en", "authority")
 
 
 def authority_summary(spark: SparkSession, folder: str) -> DataFrame:

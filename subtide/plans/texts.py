@@ -80,14 +80,13 @@ def wrap_two_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def legacy_format(spark: SparkSession, folder: str) -> DataFrame:
     """every translation, with the character names of the series' glossary kept together."""
-    characters = layout.names_of(tables.table(spark, folder, "glossary").filter("section = 'characters'"))
-    rows = tables.segments(spark, folder, "series", "en").filter("en is not null").join(characters, "series", "left")
+    rows = layout.with_names(tables.segments(spark, folder, "series", "en").filter("en is not null"), tables.table(spark, folder, "glossary").filter("section = 'characters'"))
     return rows.select("seg_id", X.balance_lines(F.col("en"), F.coalesce("names", F.array().cast("array<string>"))).alias("lines"))
 
 
 def layout_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """words with the names of the series' glossary kept together."""
-    rows = tables.segments(spark, folder, "series", "en").filter("en is not null").join(layout.names_of(tables.table(spark, folder, "glossary")), "series", "left")
+    rows = layout.with_names(tables.segments(spark, folder, "series", "en").filter("en is not null"), tables.table(spark, folder, "glossary"))
     return rows.select("seg_id", F.array_join(X.layout_words(F.col("en"), F.col("names")), "|").alias("words"))
 
 
@@ -98,7 +97,7 @@ def split_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _refined(spark: SparkSession, folder: str) -> DataFrame:
-    return layout.refine(_segments(spark, folder, "pos", "id", "start_ms", "end_ms", "words", "en"), tables.table(spark, folder, "glossary"))
+    return layout.refine(_segments(spark, folder, "pos", "id", "start_ms", "end_ms", "words", "en", "text_zh", "avg_logprob", "no_speech_prob"), tables.table(spark, folder, "glossary"))
 
 
 def refine_cues(spark: SparkSession, folder: str) -> DataFrame:
@@ -183,10 +182,10 @@ def severe_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 def condense_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     """X2, A15 with stubs: generation drops the last two words, verification accepts what keeps half."""
-    seg = _segments(spark, folder, "id", "text_zh", "en").filter("en is not null and text_zh is not null")
+    seg = _segments(spark, folder, "pos", "id", "start_ms", "end_ms", "words", "text_zh", "en").filter("en is not null and text_zh is not null")
     cue = tables.valid_times(_cues(spark, folder, "source_id", "start_ms", "end_ms", "text")).filter("source_id is not null and text is not null")
     entries = M.dictionary(tables.table(spark, folder, "glossary"), tables.table(spark, folder, "terms"))
-    done = condense.condense(seg, cue, lambda _s, old: " ".join(old.split()[:-2]), lambda _s, old, new: "ACCEPT" if len(new) * 2 > len(old) else "REJECT", entries)
+    done = condense.condense(seg, cue, lambda _s, old, *_: " ".join(old.split()[:-2]), lambda _s, old, new, *_: "ACCEPT" if len(new) * 2 > len(old) else "REJECT", entries)
     return condense.outcome_counts(done)
 
 

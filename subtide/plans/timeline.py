@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from subtide.functions import text as X
 from subtide.functions import words as W
 from subtide.functions.columns import big
-from subtide.operators import audit, folds, timeline
+from subtide.operators import audit, folds, layout, timeline
 from subtide.plans.periods import LATEST
 from subtide.sources import tables
 
@@ -155,7 +155,7 @@ def recovery_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 def recognition_suspects(spark: SparkSession, folder: str) -> DataFrame:
     """P9, P10."""
     rows = tables.segments(spark, folder, "text_zh", "avg_logprob", "no_speech_prob")
-    return rows.filter(audit.recognition_suspect(F.col("text_zh"), F.col("avg_logprob"), F.col("no_speech_prob"))).select("seg_id")
+    return rows.filter(layout.recognition_suspect(F.col("text_zh"), F.col("avg_logprob"), F.col("no_speech_prob"))).select("seg_id")
 
 
 _LEAD = "lead({0}) OVER (PARTITION BY series, episode ORDER BY {1})"

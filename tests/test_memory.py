@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from subtide import clients
-from subtide.operators import condense
+from subtide.operators import condense, layout
 from subtide.operators import memory as M
 from subtide.streaming import learning
 
@@ -25,10 +25,23 @@ def test_longest_match_and_precedence(spark):
     texts = spark.createDataFrame([("s", "甲乙丙丁甲\\E|("), ("s", None), ("t", "甲")], "series string, text_zh string")
     got = {r.term: (r.en, r.authority) for r in M.resolve(texts, entries).collect()}
     assert got == {"甲乙丙": ("Gloss", "manual"), "甲": ("A", "confirmed"), "\\E|(": ("Odd", "locked")}
-    block = {"s": [r.source for r in entries.collect()]}
-    rows = spark.createDataFrame([("s", "甲乙丙丁甲\\E|(")], "series string, text string")
-    trie = rows.mapInPandas(M._trie_matcher(block), "series string, text string, terms array<string>").first().terms
-    assert sorted(trie) == sorted(got)
+    trie = {r.term: (r.en, r.authority) for r in M.resolve_by_trie(texts, entries).collect()}
+    assert trie == got
+    whole = {(r.text, r.term) for r in M.contained(texts.select("series", F.col("text_zh").alias("text")).filter("text is not null"), entries).collect()}
+    assert whole == {("甲乙丙丁甲\\E|(", x) for x in ("甲", "甲乙", "甲乙丙", "\\E|(")}
+
+
+def test_a_dictionary_in_many_blocks_gives_the_same(spark, monkeypatch):
+    r = random.Random(9)
+    words = sorted({"".join(r.choice("甲乙丙丁") for _ in range(r.randrange(1, 5))) for _ in range(60)})
+    entries = spark.createDataFrame([(s, w, w, "manual") for s in ("s", "t") for w in words], "series string, source string, en string, authority string")
+    texts = spark.createDataFrame([("s", "".join(r.choice("甲乙丙丁戊") for _ in range(40))) for _ in range(30)] + [("u", "甲"), ("s", "")], "series string, text_zh string")
+    key = lambda df: sorted((x.series, x.text, x.term) for x in df.collect())
+    one = key(M.resolve(texts, entries))
+    monkeypatch.setattr(M, "TRIE_CHARS", 40)
+    assert one and one == key(M.resolve_by_trie(texts, entries))
+    monkeypatch.setattr(M, "PATTERN_TERMS", 0)
+    assert one == key(M.resolve(texts, entries)) and M.resolve(texts, entries.limit(0)).count() == 0
 
 
 def test_signature_depends_on_relevant_terms_only(spark):
@@ -103,7 +116,7 @@ def test_retries_adapt():
     assert seen[1]["budget"] == 8192 and seen[2]["capabilities"] == ("temperature",) and seen[3]["correction"]
     with pytest.raises(RuntimeError):
         clients.with_ladder(lambda *_: None, lambda _: (_ for _ in ()).throw(RuntimeError("disk")))
-    assert clients.with_ladder(lambda m, k: (m, k), lambda c: c if c[0] == "medium" else (_ for _ in ()).throw(RuntimeError("CUDA out of memory"))) == ("medium", "int8_float16")
+    assert clients.with_ladder(lambda m, k: (m, k), lambda c: c if c[0] == "medium" else (_ for _ in ()).throw(RuntimeError("CUDA out of memory"))) == ("medium", "float16")
 
 
 def test_upserts(spark):
@@ -116,17 +129,61 @@ def test_upserts(spark):
     assert M.set_term(t, "s", "甲", "B").first().en == "B" and M.search(t, "a").count() == 1
 
 
+WORDS = "array<struct<start_ms:bigint,end_ms:bigint,word:string>>"
+SEG = f"series string, episode string, pos int, id int, start_ms bigint, end_ms bigint, text_zh string, words {WORDS}, en string"
+
+
+def condensable(spark, *texts, duration=1200):
+    """Segments a second and a bit long with a silence after each, and their cues."""
+    seg = spark.createDataFrame([("s", "1", i + 1, i, 3000 * i, 3000 * i + duration, z, None, en) for i, (z, en) in enumerate(texts)], SEG)
+    return seg, layout.refine(seg)
+
+
 def test_condensation_outcomes(spark):
-    seg = spark.createDataFrame([("s", "1", i, z, en) for i, (z, en) in enumerate([("好", "I will go there right now my friend"), ("轮回", "the long cycle of reincarnation goes on and on"), ("玄冥", "Xuanming has come to the mountain gate today"), ("好", "I will stay here right now my friend ok")])], "series string, episode string, id int, text_zh string, en string")
-    cue = seg.select("series", "episode", F.col("id").alias("source_id"), F.lit(0).cast("bigint").alias("start_ms"), F.lit(1000).cast("bigint").alias("end_ms"), F.col("en").alias("text"))
+    replies = {"I will go there right now my friend at once": "I will go there now my friend", "the long cycle of reincarnation goes on and on": "reincarnation goes on and on and on", "Xuanming has come to the mountain gate today": "He came to the mountain gate today", "I will stay here right now my friend I think": "I will stay here right now my friend I think so"}
+    seg, cue = condensable(spark, *zip(["好", "轮回", "玄冥", "好"], replies, strict=True))
     entries = M.dictionary(spark.createDataFrame([("s", "terms", "玄冥", "Xuanming")], GLOSSARY), terms(spark))
-    replies = {"I will go there right now my friend": "I will go there now friend", "the long cycle of reincarnation goes on and on": "reincarnation goes on and on and on", "Xuanming has come to the mountain gate today": "He came to the mountain gate today", "I will stay here right now my friend ok": "I will stay here right now my friend okay"}
-    run = lambda verdict, cache=None: {r.source_id: r.outcome for r in condense.condense(seg, cue, lambda _z, o: replies[o], lambda *_: verdict, entries, cache).collect()}
+    done = lambda verdict, cache=None: condense.condense(seg, cue, lambda _z, o, *_: replies[o], lambda *_: verdict, entries, cache)
+    run = lambda *a: {r.source_id: r.outcome for r in done(*a).collect()}
     assert run("REJECT") == {0: "accepted", 1: "semantic_risk", 2: "terminology", 3: "no_improvement"}
-    assert run("ACCEPT")[1] == "accepted"
-    done = condense.condense(seg, cue, lambda _z, o: replies[o], lambda *_: "ACCEPT", entries).filter("outcome = 'accepted'")
-    cache = done.select("series", "signature", F.to_json(F.struct(F.col("condensed").alias("translation"))).alias("payload"), F.lit(1).cast("bigint").alias("seq"))
+    accepted = done("ACCEPT")
+    assert {r.source_id: r.outcome for r in accepted.collect()}[1] == "accepted"
+    (counts,) = condense.outcome_counts(accepted).collect()
+    assert (counts.targeted, counts.accepted, counts.terminology, counts.no_improvement, counts.generation, counts.cache_miss, counts.verification, counts.verification_avoided) == (4, 2, 1, 1, 4, 4, 1, 1)
+    cache = condense.cache_entries(accepted, 1)
+    assert condense.cache_entries(done("REJECT"), 1).count() == 1  # what is rejected is not cached
     assert run("REJECT", cache) == {0: "cache_hit", 1: "cache_hit", 2: "terminology", 3: "no_improvement"}
+    (again,) = condense.outcome_counts(done("REJECT", cache)).collect()
+    assert (again.cache_hit, again.generation) == (2, 2)
+    assert {r.en for r in condense.apply(seg, accepted).collect()} >= {"I will go there now my friend", "Xuanming has come to the mountain gate today"}
+
+
+def test_condensation_sees_its_context(spark):
+    seg, cue = condensable(spark, ("一", "One."), ("二", "Two."), ("三", "I will go there right now my friend at once"), ("四", "Four."), ("五", "Five."), ("六", "Six."))
+    tell = lambda _z, _o, before, after: " ".join(x["zh"] + x["en"][0] for x in before) + "|" + " ".join(x["zh"] for x in after)
+    (row,) = condense.condense(seg, cue, tell, lambda *_: "ACCEPT", M.dictionary(spark.createDataFrame([], GLOSSARY), terms(spark))).collect()
+    assert (row.source_id, row.condensed) == (2, "一O 二T|四 五")
+
+
+@pytest.mark.parametrize(("wide_at", "reply", "expected"), [
+    (None, "I will go there right now my friend at once and never come", {"first": "accepted", "last": "accepted"}),
+    (2, "I will go there right now my friend at once and never come", {"first": "no_improvement", "last": "no_improvement"}),
+    (0, "x" * 45, {"first": "no_improvement", "last": "no_improvement"}),
+])
+def test_a_trial_layout_may_leave_no_long_line(spark, wide_at, reply, expected):
+    long, wide = "I will go there right now my friend at once and never come back to you again", "w" * 50
+    texts = [("一", long), ("二", "Two."), ("三", wide if wide_at == 2 else "Three."), ("四", long + "!")]
+    seg, cue = condensable(spark, *texts)
+    done = condense.condense(seg, cue, lambda _z, o, *_: o if o == wide else reply, lambda *_: "ACCEPT", M.dictionary(spark.createDataFrame([], GLOSSARY), terms(spark)))
+    got = {r.source_id: r.outcome for r in done.collect()}
+    assert (got[0], got[3]) == (expected["first"], expected["last"])
+
+
+def test_the_last_long_line_gone_frees_what_follows(spark):
+    long, wide = "I will go there right now my friend at once and never come back to you again", "w" * 50
+    seg, cue = condensable(spark, ("一", long), ("二", wide), ("三", long + "!"))
+    done = condense.condense(seg, cue, lambda _z, o, *_: "w" * 30 if o == wide else "I will go there right now my friend at once and never come", lambda *_: "ACCEPT", M.dictionary(spark.createDataFrame([], GLOSSARY), terms(spark)))
+    assert {r.source_id: r.outcome for r in done.collect()} == {0: "no_improvement", 1: "accepted", 2: "accepted"}
 
 
 def test_stream_learns_as_the_batch_does(spark, tmp_path):
