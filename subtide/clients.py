@@ -6,7 +6,10 @@ task, so callers cut the lineage after a paid call, and the memo table keeps a r
 
 from __future__ import annotations
 
+import json
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -15,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from subtide.config import DEFAULT, EngineConfig
+from subtide.operators import contracts
 
 
 class Translator(Protocol):
@@ -35,6 +39,11 @@ class VoiceActivity(Protocol):
         """Intervals in milliseconds."""
 
 
+class Requester(Protocol):
+    def request(self, ids: list[int], targets: list[str], previous: list[str], following: list[str], glossary: list[dict]) -> list[dict]:
+        """One {'id', 'en'} for each target, in their order; a ReplyError otherwise."""
+
+
 @dataclass
 class UpperTranslator:
     """A deterministic stub."""
@@ -42,6 +51,9 @@ class UpperTranslator:
     def translate(self, rows: Sequence[dict]) -> list[dict]:
         return [{"id": r["id"], "en": (r["source"] or "").upper()} for r in rows]
 
+    def request(self, ids: list[int], targets: list[str], previous: list[str], following: list[str], glossary: list[dict]) -> list[dict]:
+        return [{"id": i, "en": t.upper()} for i, t in zip(ids, targets, strict=True)]
+
 
 class ReplyError(Exception):
     """kind: empty, parse, length, unsupported or http; it steers what the next attempt changes."""
@@ -83,6 +95,81 @@ class Retrying:
         raise last or ReplyError("http")
 
 
+@dataclass
+class HttpRequester:
+    """Asks a chat endpoint; every reply has to keep the strict contracts. The key is in no text that leaves this class."""
+
+    base: str
+    key: str
+    model: str
+    style: str = "subtitle"
+    config: EngineConfig = DEFAULT
+    timeout: float = 90.0
+    sleep: Callable[[float], None] = time.sleep
+    send: Callable[[str, dict, dict], str] | None = None
+    _retrying: Retrying | None = None
+
+    def _post(self, url: str, headers: dict, body: dict) -> str:
+        call = urllib.request.Request(url, json.dumps(body, ensure_ascii=False).encode(), headers)
+        try:
+            with urllib.request.urlopen(call, timeout=self.timeout) as answer:
+                return answer.read().decode("utf-8")
+        except urllib.error.HTTPError as error:
+            raise ReplyError("unsupported" if error.code in (400, 422) else "http", f"status {error.code}") from None
+        except (urllib.error.URLError, TimeoutError) as error:
+            raise ReplyError("http", str(error).replace(self.key, "[REDACTED]") if self.key else str(error)) from None
+
+    def _call(self, rows: Sequence[dict], budget: int, correction: bool, capabilities: Sequence[str]) -> list[dict]:
+        asked = rows[0]["request"]
+        messages = [{"role": "system", "content": prompt(self.style)}, {"role": "user", "content": json.dumps(asked, ensure_ascii=False)}]
+        if correction:
+            messages.append({"role": "user", "content": "The last answer did not keep to the format. Answer with that JSON object and nothing else."})
+        body = {"model": self.model, "messages": messages, "max_tokens": budget, "stream": False}
+        body["response_format"] = {"type": "json_schema", "json_schema": {"name": "translations", "schema": REPLY_SCHEMA}} if "json_schema" in capabilities else {"type": "json_object"}
+        if "temperature" in capabilities:
+            body["temperature"] = 0
+        headers = {"Authorization": f"Bearer {self.key}", "Content-Type": "application/json"}
+        status, content, _ = contracts.completion((self.send or self._post)(f"{self.base.rstrip('/')}/chat/completions", headers, body))
+        if status == "ok":
+            status, _, items = contracts.reply(content, [r["id"] for r in rows])
+        if status != "ok":
+            raise ReplyError(status)
+        return items
+
+    def request(self, ids: list[int], targets: list[str], previous: list[str], following: list[str], glossary: list[dict]) -> list[dict]:
+        self._retrying = self._retrying or Retrying(self._call, self.config, self.sleep)
+        asked = {"glossary": {g["term"]: g["en"] for g in glossary}, "previous_context": previous, "following_context": following, "targets": [{"id": i, "zh": t} for i, t in zip(ids, targets, strict=True)]}
+        return self._retrying.translate([{"id": i, "request": asked} for i in ids])
+
+
+REPLY_SCHEMA = {
+    "type": "object", "additionalProperties": False, "required": ["translations"],
+    "properties": {"translations": {"type": "array", "items": {"type": "object", "additionalProperties": False, "required": ["id", "en"], "properties": {"id": {"type": "integer"}, "en": {"type": "string"}}}}},
+}
+
+
+def request_with(batches: DataFrame, make: Callable[[], Requester]) -> DataFrame:
+    """series, episode, batch, status, reason, items of rows (series, episode, batch, ids, targets, previous, following,
+    glossary as JSON): all of a batch is accepted or none of it."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = make()
+        whole = lambda x: [] if x is None else list(x)
+        for part in parts:
+            out = []
+            for r in part.itertuples(index=False):
+                ids = [int(i) for i in r.ids]
+                try:
+                    items = client.request(ids, whole(r.targets), whole(r.previous), whole(r.following), json.loads(r.glossary or "[]"))
+                    good = [g["id"] for g in items] == ids and all((g["en"] or "").strip() for g in items)
+                    out.append((r.series, r.episode, r.batch, "ok" if good else "parse", None if good else "items", items if good else None))
+                except ReplyError as error:
+                    out.append((r.series, r.episode, r.batch, error.kind, str(error), None))
+            yield pd.DataFrame(out, columns=["series", "episode", "batch", "status", "reason", "items"])
+
+    return batches.mapInPandas(run, "series string, episode string, batch bigint, status string, reason string, items array<struct<id:bigint,en:string>>")
+
+
 #: What an error of exhausted memory says.
 OUT_OF_MEMORY = ("out of memory", "cuda_error_out_of_memory", "cudaerror_memoryallocation", "cublas_status_alloc_failed", "failed to allocate", "not enough memory")
 #: Models and number formats, the most demanding first.

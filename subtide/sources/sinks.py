@@ -36,11 +36,11 @@ def srt_texts(cues: DataFrame, keys: list[str], order: str, text: str = "text",
 def write_srt(cues: DataFrame, path: str, keys: list[str], order: str, text: str = "text") -> None:
     """One SRT file per episode, below a folder per key; its parts are written one after the other."""
     parts = srt_texts(cues, keys, order, text).repartition(*keys).sortWithinPartitions(*keys, "part")
-    parts.select(*keys, "srt").write.mode("overwrite").partitionBy(*keys).option("lineSep", "\n").text(path)
+    parts.select(*keys, "srt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).option("lineSep", "\n").text(path)
 
 
 def write_reports(reports: DataFrame, path: str, keys: list[str]) -> None:
-    reports.write.mode("overwrite").partitionBy(*keys).json(path)
+    reports.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).json(path)
 
 
 def replace_table(spark: SparkSession, df: DataFrame, path: str) -> None:
