@@ -16,7 +16,8 @@ from subtide.functions.columns import let
 #: Words that shouldn't end a line, and words that may well begin one.
 LINE_END_AVOID = ("a", "an", "the", "of", "in", "on", "at", "to", "from", "with", "for", "by", "into", "my", "your", "his", "her", "our", "their", "is", "are", "was", "were", "must", "can", "will", "would", "has", "have", "had")
 LINE_START_GOOD = ("and", "but", "so", "because", "unless", "while", "although")
-UNITS = ("year", "day", "second", "meter", "mile", "kg", "km", "percent")
+#: Units that stay with their number.
+UNIT_FORMS = ("years?", "days?", "seconds?", "meters?", "miles?", "kg", "km", "percent")
 #: Phrases that sound translated.
 TRANSLATIONESE = ("Could it be that", "This matter", "You actually dare", "It seems that", "In that case", "Naturally", "Indeed")
 #: Suffixes of Chinese names of places, sects and things.
@@ -141,7 +142,7 @@ def layout_words(text: Column, names: Column | None = None) -> Column:
     """The words of a text, with names, capitalised phrases and numbers with their units as one word."""
     plain = squeeze(text)
     phrases = F.regexp_extract_all(plain, F.lit(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b"), F.lit(0))
-    units = F.regexp_extract_all(plain, F.lit(r"\b\d+(?:\.\d+)?\s+(?:" + "|".join(u + "s?" if len(u) > 2 and u != "percent" else u for u in UNITS) + r")\b"), F.lit(0))
+    units = F.regexp_extract_all(plain, F.lit(r"\b\d+(?:\.\d+)?\s+(?:" + "|".join(UNIT_FORMS) + r")\b"), F.lit(0))
     every = F.concat(*([F.coalesce(names, F.array().cast("array<string>"))] if names is not None else []), phrases, units)
     return F.split(keep_together(plain, every), " ")
 

@@ -74,18 +74,21 @@ def memory_insert_first(spark: SparkSession, folder: str) -> DataFrame:
     return M.first_by(tables.table(spark, folder, "term_occurrences"), ["series", "episode", "cue", "source"]).select("seq", "series", "source", "en")
 
 
-def memory_partition(spark: SparkSession, folder: str) -> DataFrame:
-    """Current segments whose text the memory knows under any signature, and those that it doesn't."""
-    latest = M.latest_by(tables.table(spark, folder, "translation_memory"), ["series", "source"])
+def _targets(spark: SparkSession, folder: str) -> DataFrame:
+    """Current segments, each with the signature under which the memory last kept its text (null if it never did)."""
+    last = M.latest_by(tables.table(spark, folder, "translation_memory"), ["series", "source"]).select("series", "source", "signature")
     targets = tables.segments(spark, folder, "series", "text_zh").filter("text_zh is not null").withColumnRenamed("text_zh", "source")
-    return M.partition_hits(targets, latest, ["series", "source"]).select("seg_id", "hit", F.col("memory_en").alias("en"))
+    return targets.join(last, ["series", "source"], "left")
+
+
+def memory_partition(spark: SparkSession, folder: str) -> DataFrame:
+    """Current segments whose text and signature the memory knows, and those that it doesn't."""
+    return M.partition_hits(_targets(spark, folder), tables.table(spark, folder, "translation_memory")).select("seg_id", "signature", "hit", F.col("memory_en").alias("en"))
 
 
 def hit_rate(spark: SparkSession, folder: str) -> DataFrame:
     """A8."""
-    latest = M.latest_by(tables.table(spark, folder, "translation_memory"), ["series", "source"])
-    targets = tables.segments(spark, folder, "series", "text_zh").filter("text_zh is not null").withColumnRenamed("text_zh", "source")
-    out = M.hit_rate(M.partition_hits(targets, latest, ["series", "source"]))
+    out = M.hit_rate(M.partition_hits(_targets(spark, folder), tables.table(spark, folder, "translation_memory")))
     return out.select("series", big(F.col("hits")).alias("hits"), big(F.col("misses")).alias("misses"), big(F.col("percent")).alias("percent"))
 
 
@@ -97,7 +100,7 @@ def memory_signatures(spark: SparkSession, folder: str) -> DataFrame:
 
 def batch_with_client(spark: SparkSession, folder: str) -> DataFrame:
     """Hits from the memory, misses from a stub that translates by upper case; each distinct miss once."""
-    known = memory_partition(spark, folder).join(tables.segments(spark, folder, "series", "text_zh"), "seg_id")
+    known = memory_partition(spark, folder).drop("signature").join(tables.segments(spark, folder, "series", "text_zh"), "seg_id")
     misses = known.filter("not hit").filter(F.col("text_zh").rlike(r"(?U)\S")).select("series", F.col("text_zh").alias("source")).distinct()
     done = clients.translate_with(misses, clients.UpperTranslator).filter("status = 'ok'").select("series", F.col("source").alias("text_zh"), F.col("en").alias("fresh"))
     return known.join(done, ["series", "text_zh"], "left").select("seg_id", "hit", F.coalesce("en", "fresh").alias("en"))
@@ -189,14 +192,49 @@ r AS (SELECT *, first_value(en) OVER o AS fe, sum(CASE WHEN coalesce(suspect, fa
 k AS (SELECT *, sum(CASE WHEN en IS DISTINCT FROM fe THEN 1 ELSE 0 END) OVER (PARTITION BY series, source ORDER BY seq ROWS UNBOUNDED PRECEDING) AS other FROM r),
 a AS (SELECT series, source, any_value(fe) AS fe, min(seq) AS at_seq FROM k WHERE trusted >= 3 AND other = 0 AND fe IS NOT NULL GROUP BY ALL)"""
 _TM_LAST = "last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series, source ORDER BY seq DESC) AS rn FROM translation_memory) WHERE rn = 1)"
-_PART = f"WITH {LATEST}, {_TM_LAST}, p AS (SELECT seg.seg_id, seg.series, seg.text_zh, last.en FROM seg LEFT JOIN last ON seg.series = last.series AND seg.text_zh = last.source AND last.en IS NOT NULL WHERE seg.text_zh IS NOT NULL)"
+_PART = f"""WITH {LATEST}, {_TM_LAST},
+held AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series, source, signature ORDER BY seq DESC) AS rn FROM translation_memory) WHERE rn = 1 AND en IS NOT NULL),
+t AS (SELECT seg.seg_id, seg.series, seg.text_zh, last.signature FROM seg LEFT JOIN last ON seg.series = last.series AND seg.text_zh = last.source WHERE seg.text_zh IS NOT NULL),
+p AS (SELECT t.*, held.en FROM t LEFT JOIN held ON t.series = held.series AND t.text_zh = held.source AND t.signature = held.signature)"""
+#: SQL: letters that count as a part of a word beside ASCII ones.
+_ACCENTED = r"[\x{C0}-\x{24F}\x{1E00}-\x{1EFF}\x{3400}-\x{9FFF}]"
+#: SQL: a text as it is matched: width and compatibility forms unified as far as the tables hold any, ends trimmed.
+_WIDE, _NARROW = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
+
+
+def _nfkc(column: str) -> str:
+    spaces = "'　' || chr(160) || chr(8239) || chr(8201) || chr(8194)"
+    return f"regexp_replace(nfc_normalize(translate(translate({column}, '{_WIDE}', '{_NARROW}'), {spaces}, '     ')), '^\\s+|\\s+$', '', 'g')"
+
+
+_RULED = f"""g AS (SELECT series, {_nfkc("source")} AS source, en, 'manual' AS authority, 1 AS rank, CASE WHEN section = 'terms' THEN 0 ELSE 1 END AS tie FROM glossary
+  UNION ALL SELECT series, source, en, CASE WHEN coalesce(locked, false) THEN 'locked' ELSE 'confirmed' END, CASE WHEN coalesce(locked, false) THEN 2 ELSE 3 END, 0 FROM terms WHERE status IN ('confirmed', 'manual') OR coalesce(locked, false)"""
+_BEST = "d AS (SELECT series, source, en, authority FROM (SELECT *, row_number() OVER (PARTITION BY series, source ORDER BY rank, tie, en) AS rn FROM g WHERE source <> '' AND en IS NOT NULL) WHERE rn = 1)"
+_FOUND = f"""WITH {LATEST}, {_RULED}), {_BEST},
+pat AS (SELECT series, string_agg(regexp_escape(source), '|' ORDER BY length(source) DESC, source) AS pattern FROM d GROUP BY series),
+x AS (SELECT DISTINCT series, text_zh AS text FROM seg WHERE text_zh IS NOT NULL),
+h AS (SELECT DISTINCT x.series, x.text, unnest(regexp_extract_all({_nfkc("x.text")}, pattern)) AS term FROM x JOIN pat ON x.series = pat.series),
+f AS (SELECT h.*, d.en, d.authority FROM h JOIN d ON h.series = d.series AND h.term = d.source)"""
 
 SQL = {
     "glossary_constraints": f"""WITH {LATEST}, d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series, source ORDER BY section DESC) AS rn FROM (SELECT series, section, trim(nfc_normalize(source)) AS source, en FROM glossary)) WHERE rn = 1 AND source <> '' AND en IS NOT NULL)
 SELECT seg_id, d.source AS term, d.en AS expected FROM seg JOIN d ON seg.series = d.series AND contains(seg.text_zh, d.source) WHERE seg.en IS NOT NULL AND NOT contains(seg.en, d.en)""",
+    "dictionary_merge": f"""WITH {_LEARN}, last_term AS (SELECT series, source, en FROM (SELECT *, row_number() OVER (PARTITION BY series, source ORDER BY term_id DESC) AS rn FROM terms) WHERE rn = 1 AND en IS NOT NULL),
+o AS (SELECT k.*, row_number() OVER (PARTITION BY k.series, k.episode, k.source ORDER BY k.seq DESC) AS n FROM k LEFT JOIN last_term t ON k.series = t.series AND k.source = t.source LEFT JOIN a ON k.series = a.series AND k.source = a.source
+  WHERE t.en IS NULL AND (a.at_seq IS NULL OR k.seq <= a.at_seq) AND NOT coalesce(suspect, false) AND k.en IS NOT NULL),
+{_RULED} UNION ALL SELECT series, source, max(en), 'local', 4, 0 FROM o WHERE n = 1 GROUP BY series, source UNION ALL SELECT series, source, en, 'candidate', 5, count(*) FROM first GROUP BY series, source, en), {_BEST} SELECT * FROM d""",
+    "dictionary_resolve": _FOUND + " SELECT * FROM f",
+    "dictionary_trie": _FOUND + " SELECT * FROM f",
+    "authority_summary": _FOUND + ", n AS (SELECT series, text_zh AS text, count(*) AS rows FROM seg WHERE text_zh IS NOT NULL GROUP BY ALL) SELECT f.series, " + ", ".join(f"CAST(coalesce(sum(rows) FILTER (authority = '{a}'), 0) AS BIGINT) AS {a}" for a in M.AUTHORITIES) + " FROM f JOIN n ON f.series = n.series AND f.text = n.text GROUP BY f.series",
+    "term_constraints": _FOUND + " SELECT seg_id, term, f.en AS expected FROM seg JOIN f ON seg.series = f.series AND seg.text_zh = f.text WHERE seg.en IS NOT NULL AND NOT contains(seg.en, f.en)",
+    "memory_signatures": _FOUND + ", m AS (SELECT series, text, string_agg(term || '=' || en, chr(1) ORDER BY term || '=' || en) AS m FROM f GROUP BY series, text) SELECT x.series, count(*) AS texts, count(DISTINCT coalesce(m, '')) AS signatures FROM x LEFT JOIN m ON x.series = m.series AND x.text = m.text GROUP BY x.series",
+    "entity_pairs": f"""WITH {LATEST}, e AS (SELECT seg_id, list_distinct(regexp_extract_all(text_zh, '[\\x{{4E00}}-\\x{{9FFF}}]{{1,8}}(?:{'|'.join(X.ENTITY_SUFFIXES)})')) AS z, list_distinct(regexp_extract_all(regexp_replace(en, '{_ACCENTED}', '0', 'g'), '\\b[A-Z][a-z]+(?:[- ][A-Z][a-z]+){{1,7}}\\b')) AS e FROM seg WHERE text_zh IS NOT NULL AND en IS NOT NULL)
+SELECT seg_id, z[1] AS source_term, e[1] AS en_term FROM e WHERE len(z) = 1 AND len(e) = 1""",
+    "term_edits": """WITH l AS (SELECT series, source, CASE WHEN series = 'chichi-chronicle' AND source = '溟岚珞莲' THEN true ELSE locked END AS locked FROM terms WHERE NOT (coalesce(series = 'chichi-chronicle', false) AND coalesce(source IN ('没有', '新词'), false)) UNION ALL SELECT 'chichi-chronicle', '新词', true)
+SELECT series, count(*) AS terms, count(*) FILTER (locked) AS locked FROM l GROUP BY series""",
     "memory_upsert_latest": "SELECT seq, series, source, signature, en FROM (SELECT *, row_number() OVER (PARTITION BY series, source, signature ORDER BY seq DESC) AS rn FROM translation_memory) WHERE rn = 1",
     "memory_insert_first": f"WITH {_FIRST} SELECT seq, series, source, en FROM first",
-    "memory_partition": _PART + " SELECT seg_id, en IS NOT NULL AS hit, en FROM p",
+    "memory_partition": _PART + " SELECT seg_id, signature, en IS NOT NULL AS hit, en FROM p",
     "hit_rate": _PART + " SELECT series, count(en) AS hits, count(*) - count(en) AS misses, count(en) * 100 // count(*) AS percent FROM p GROUP BY series",
     "batch_with_client": _PART + " SELECT seg_id, en IS NOT NULL AS hit, coalesce(en, CASE WHEN trim(text_zh, ' ' || chr(10) || chr(9) || chr(160) || chr(12288)) <> '' THEN upper(text_zh) END) AS en FROM p",
     "candidate_counts": f"WITH {_FIRST} SELECT series, source, en, count(*) AS n FROM first GROUP BY ALL",

@@ -147,9 +147,12 @@ def audit_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def recovery_verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    """P8 over every segment text, without neighbours."""
-    none = F.array().cast("array<string>")
-    return tables.segments(spark, folder, "text_zh").select("seg_id", audit.recovery_verdict(F.col("text_zh"), none).alias("verdict"))
+    """P8 over every current segment as if it had been recovered, beside the others within two seconds of it."""
+    seg = _segments(spark, folder, "start_ms", "end_ms", "text_zh")
+    timed = tables.valid_times(seg)
+    near = timeline.range_neighbours(timed.select(*KEYS, "seg_id", "start_ms", "end_ms"), timed, KEYS).filter("seg_id <> row_seg_id")
+    texts = near.groupBy("seg_id").agg(F.collect_set("row_text_zh").alias("near"))  # of a few seconds
+    return seg.join(texts, "seg_id", "left").select("seg_id", audit.recovery_verdict(F.col("text_zh"), F.col("near")).alias("verdict"))
 
 
 def recognition_suspects(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,7 +162,7 @@ def recognition_suspects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _LEAD = "lead({0}) OVER (PARTITION BY series, episode ORDER BY {1})"
-_ISLANDS = FLAT + """,
+ISLANDS = FLAT + """,
 g AS (SELECT *, s - lag(e) OVER (PARTITION BY seg_id ORDER BY i) AS gap FROM w),
 l AS (SELECT *, sum(CASE WHEN gap > 800 THEN 1 ELSE 0 END) OVER (PARTITION BY seg_id ORDER BY i ROWS UNBOUNDED PRECEDING) + 1 AS island FROM g),
 x AS (SELECT seg_id, CAST(island AS BIGINT) AS island, arg_min(s, i) AS start_ms, arg_max(e, i) AS end_ms, count(*) AS n FROM l GROUP BY ALL)
@@ -188,8 +191,8 @@ sent AS (SELECT * FROM x WHERE text_zh <> '')
 """
 
 SQL = {
-    "word_islands": _ISLANDS + "SELECT * FROM x",
-    "dominant_islands": _ISLANDS + "SELECT seg_id, start_ms, end_ms, n FROM (SELECT *, row_number() OVER (PARTITION BY seg_id ORDER BY n DESC, start_ms, end_ms) AS rn FROM x) WHERE rn = 1",
+    "word_islands": ISLANDS + "SELECT * FROM x",
+    "dominant_islands": ISLANDS + "SELECT seg_id, start_ms, end_ms, n FROM (SELECT *, row_number() OVER (PARTITION BY seg_id ORDER BY n DESC, start_ms, end_ms) AS rn FROM x) WHERE rn = 1",
     "cue_islands": f"""WITH {LATEST},
 g AS (SELECT *, row_number() OVER o AS place, start_ms - lag(end_ms) OVER o AS gap FROM cue WHERE start_ms IS NOT NULL AND end_ms IS NOT NULL WINDOW o AS (PARTITION BY series, episode ORDER BY start_ms, end_ms, cue_id)),
 l AS (SELECT *, max(CASE WHEN gap IS NULL OR gap > 2000 THEN place END) OVER (PARTITION BY series, episode ORDER BY place ROWS UNBOUNDED PRECEDING) AS island FROM g)
@@ -223,6 +226,20 @@ SELECT seg_id, sentence, CAST(s + room * ahead // total AS BIGINT) AS part_start
 f AS (SELECT seg_id, arg_min(s, i) AS fs, arg_max(e, i) AS fe FROM w GROUP BY seg_id),
 x AS (SELECT seg.seg_id, series, episode, pos, coalesce(fs, start_ms) AS speech_start_ms, coalesce(fe, end_ms) AS speech_end_ms FROM seg LEFT JOIN f ON seg.seg_id = f.seg_id)
 SELECT seg_id, speech_start_ms, speech_end_ms, lead(speech_start_ms) OVER (PARTITION BY series, episode ORDER BY pos, seg_id) AS next_ms FROM x""",
+    "recovery_verdicts": rf"""WITH {LATEST}, v AS (SELECT * FROM seg WHERE end_ms > start_ms), t AS (SELECT *, coalesce(text_zh, '') AS x, regexp_replace(coalesce(text_zh, ''), '[\s\x{{A0}}\x{{3000}}\x{{2002}}\x{{2009}}\x{{202F}}]', '', 'g') AS bare, len(regexp_extract_all(coalesce(text_zh, ''), '[\x{{3400}}-\x{{9FFF}}]')) AS han FROM seg),
+dup AS (SELECT DISTINCT a.seg_id FROM v a JOIN v b ON a.series = b.series AND a.episode = b.episode AND a.seg_id <> b.seg_id AND b.end_ms > a.start_ms - 2000 AND b.start_ms < a.end_ms + 2000 JOIN t ta ON ta.seg_id = a.seg_id JOIN t tb ON tb.seg_id = b.seg_id WHERE tb.bare <> '' AND (contains(tb.bare, ta.bare) OR contains(ta.bare, tb.bare))),
+rep AS (SELECT seg_id, list_bool_or(list_transform(range(1, length(x) + 1), lambda i: (i + 2 <= length(x) AND substr(x, i, 1) = substr(x, i + 1, 1) AND substr(x, i, 1) = substr(x, i + 2, 1)) OR (i + 5 <= length(x) AND substr(x, i, 2) = substr(x, i + 2, 2) AND substr(x, i, 2) = substr(x, i + 4, 2)) OR (i + 8 <= length(x) AND substr(x, i, 3) = substr(x, i + 3, 3) AND substr(x, i, 3) = substr(x, i + 6, 3)))) AS r FROM t)
+SELECT t.seg_id, CASE WHEN trim(x) = '' OR han = 0 THEN 'empty_or_no_chinese' WHEN han * 2 < length(trim(x)) THEN 'mostly_non_chinese' WHEN rep.r THEN 'repetition' WHEN dup.seg_id IS NOT NULL THEN 'duplicate_neighbor' ELSE 'ok' END AS verdict FROM t LEFT JOIN rep ON rep.seg_id = t.seg_id LEFT JOIN dup ON dup.seg_id = t.seg_id""",
+    "cleanup_fold": FLAT.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+z AS (SELECT seg_id, arg_min(s, i) AS ws, arg_max(e, i) AS we FROM w GROUP BY seg_id),
+r AS (SELECT series, episode, greatest(0, start_ms) AS st, end_ms AS en, trim(text_zh) AS tx, ws, we, row_number() OVER (PARTITION BY series, episode ORDER BY pos, greatest(0, start_ms), end_ms) AS k FROM seg LEFT JOIN z ON seg.seg_id = z.seg_id WHERE trim(text_zh) <> '' AND end_ms > greatest(0, start_ms)),
+f AS (SELECT series, episode, k, CAST(1 AS BIGINT) AS id, st, en, tx, ws, we FROM r WHERE k = 1
+  UNION ALL SELECT series, episode, k, CASE WHEN how = 2 THEN id + 1 ELSE id END, CASE WHEN how = 2 THEN nst ELSE st END, CASE WHEN how = 0 THEN greatest(en, nen) ELSE nen END,
+    CASE how WHEN 2 THEN ntx WHEN 1 THEN tx || ntx ELSE tx END, CASE how WHEN 2 THEN nws WHEN 1 THEN coalesce(ws, nws) ELSE ws END, CASE how WHEN 2 THEN nwe WHEN 1 THEN coalesce(nwe, we) ELSE we END
+  FROM (SELECT f.series, f.episode, r.k, f.id, f.st, f.en, f.tx, f.ws, f.we, r.st AS nst, r.en AS nen, r.tx AS ntx, r.ws AS nws, r.we AS nwe,
+    CASE WHEN r.tx = f.tx AND r.st <= f.en THEN 0 WHEN regexp_matches(f.tx, '[，、,]$') AND r.st - f.en BETWEEN 0 AND 150 AND r.en - f.st <= 6000 AND length(f.tx) + length(r.tx) <= 36 THEN 1 ELSE 2 END AS how
+    FROM f JOIN r ON f.series = r.series AND f.episode = r.episode AND r.k = f.k + 1))
+SELECT series, episode, id, coalesce(arg_max_null(ws, k), arg_max(st, k)) AS start_ms, coalesce(arg_max_null(we, k), arg_max(en, k)) AS end_ms, arg_max(tx, k) AS text_zh FROM f GROUP BY series, episode, id""",
     "recognition_suspects": f"""WITH {LATEST}, c AS (SELECT *, list_transform(range(1, greatest(length(text_zh) - 2, 1)), lambda i: substr(text_zh, i, 4) = repeat(substr(text_zh, i, 1), 4)) AS r FROM seg)
 SELECT seg_id FROM c WHERE coalesce(list_contains(r, true), false) OR coalesce(avg_logprob < -1, false) OR coalesce(no_speech_prob > 0.6, false)""",
 }
