@@ -123,14 +123,17 @@ _PLAIN = r"lower(regexp_replace({0}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
 _SHORT = r"trim(regexp_replace({0}, '[ \t\n\r\x{{0B}}\x{{0C}}\x{{A0}}\x{{202F}}]+', ' ', 'g'))"
 
 
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p5_found": f"""WITH {LATEST},
-r AS (SELECT 'segments' AS src, series, episode, pos AS o, seg_id AS id, start_ms AS s, end_ms AS e, coalesce({_PLAIN.format("text_zh")}, '') AS p FROM seg WHERE end_ms > start_ms
-  UNION ALL SELECT 'cues', series, episode, cue.id, cue_id, start_ms, end_ms, coalesce({_PLAIN.format("text")}, '') FROM cue WHERE end_ms > start_ms),
+_RUNS = f"""WITH {LATEST},
+r AS (SELECT 'segments' AS src, series, episode, pos AS o, seg_id AS id, start_ms AS s, end_ms AS e, text_zh AS tx, coalesce({_PLAIN.format("text_zh")}, '') AS p FROM seg WHERE end_ms > start_ms
+  UNION ALL SELECT 'cues', series, episode, cue.id, cue_id, start_ms, end_ms, text, coalesce({_PLAIN.format("text")}, '') FROM cue WHERE end_ms > start_ms),
 n AS (SELECT *, lag(e) OVER w AS pe, lag(p) OVER w AS pp FROM r WINDOW w AS (PARTITION BY src, series, episode ORDER BY o, id)),
 b AS (SELECT *, coalesce(s <= pe + 3000 AND {_one_apart("p", "pp")}, false) AS goes_on FROM n),
-l AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY src, series, episode ORDER BY o, id ROWS UNBOUNDED PRECEDING) AS run FROM b)
-SELECT src, arg_min(id, (o, id)) AS first_id, arg_max(id, (o, id)) AS last_id FROM l GROUP BY src, series, episode, run HAVING count(*) > 1""",
+l AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY src, series, episode ORDER BY o, id ROWS UNBOUNDED PRECEDING) AS run FROM b)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p5_found": _RUNS + " SELECT src, arg_min(id, (o, id)) AS first_id, arg_max(id, (o, id)) AS last_id FROM l GROUP BY src, series, episode, run HAVING count(*) > 1",
+        "p5_events": _RUNS + " SELECT src, series, episode, arg_min(id, (o, id)) AS first_id, arg_max(id, (o, id)) AS last_id, count(*) AS n, arg_min(s, (o, id)) AS start_ms, max(e) AS end_ms, max(e) - arg_min(s, (o, id)) AS duration_ms, arg_min_null(tx, (o, id)) AS text FROM l GROUP BY src, series, episode, run",
         "p6_found": f"WITH {LATEST} SELECT 'segments' AS src, seg_id AS row_id FROM seg WHERE length({_SHORT.format('en')}) > 84 UNION ALL SELECT 'cues', cue_id FROM cue WHERE length({_SHORT.format('text')}) > 84",
     }
