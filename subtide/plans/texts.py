@@ -308,6 +308,8 @@ SELECT seg_id, part - 1 AS part, shown AS text FROM part""",
     "refine_single": _TIMES + """
 SELECT seg_id, b AS cue_start_ms, ce AS cue_end_ms, long AS anomaly, split AS island_split, bare AS fallback_capped FROM o WHERE ce > b""",
     "refine_cues": _REFINED + " SELECT series, episode, id, source_id, start_ms, end_ms, text, fixed FROM done",
+    "layout_failures": _REFINED + """ SELECT series, episode, id, 'no_time' AS problem FROM seg JOIN o ON seg.seg_id = o.seg_id WHERE NOT ce > b
+UNION ALL SELECT series, episode, source_id, 'no_room' FROM pl WHERE room <= 0 AND part = 1 UNION ALL SELECT series, episode, id, 'invalid_times' FROM seg WHERE trim(coalesce(en, '')) <> '' AND NOT coalesce(end_ms > start_ms, false)""",
     "qc_report": _REFINED + f""",
 q AS (SELECT *, CAST(floor({_V.format('text')} * 1000000 / greatest(1, end_ms - start_ms)) AS BIGINT) AS rate, len(string_split(text, chr(10))) AS lines, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS widest, end_ms - start_ms AS duration, lead(start_ms) OVER (PARTITION BY series, episode ORDER BY id) AS nxt,
   lower(text) AS low, string_split(trim(regexp_replace(text, '[\\s\\x{{A0}}\\x{{3000}}]+', ' ', 'g')), ' ') AS ws FROM done),

@@ -230,6 +230,22 @@ SELECT seg_id, speech_start_ms, speech_end_ms, lead(speech_start_ms) OVER (PARTI
 dup AS (SELECT DISTINCT a.seg_id FROM v a JOIN v b ON a.series = b.series AND a.episode = b.episode AND a.seg_id <> b.seg_id AND b.end_ms > a.start_ms - 2000 AND b.start_ms < a.end_ms + 2000 JOIN t ta ON ta.seg_id = a.seg_id JOIN t tb ON tb.seg_id = b.seg_id WHERE tb.bare <> '' AND (contains(tb.bare, ta.bare) OR contains(ta.bare, tb.bare))),
 rep AS (SELECT seg_id, list_bool_or(list_transform(range(1, length(x) + 1), lambda i: (i + 2 <= length(x) AND substr(x, i, 1) = substr(x, i + 1, 1) AND substr(x, i, 1) = substr(x, i + 2, 1)) OR (i + 5 <= length(x) AND substr(x, i, 2) = substr(x, i + 2, 2) AND substr(x, i, 2) = substr(x, i + 4, 2)) OR (i + 8 <= length(x) AND substr(x, i, 3) = substr(x, i + 3, 3) AND substr(x, i, 3) = substr(x, i + 6, 3)))) AS r FROM t)
 SELECT t.seg_id, CASE WHEN trim(x) = '' OR han = 0 THEN 'empty_or_no_chinese' WHEN han * 2 < length(trim(x)) THEN 'mostly_non_chinese' WHEN rep.r THEN 'repetition' WHEN dup.seg_id IS NOT NULL THEN 'duplicate_neighbor' ELSE 'ok' END AS verdict FROM t LEFT JOIN rep ON rep.seg_id = t.seg_id LEFT JOIN dup ON dup.seg_id = t.seg_id""",
+    "audit_report": "WITH RECURSIVE " + _SUBTRACT.replace("WITH ", "", 1).replace("FROM cue WHERE", "FROM orig WHERE").replace("\nc AS (SELECT", "\norig AS (SELECT * FROM seg WHERE NOT coalesce(recovered, false)),\nc AS (SELECT", 1).format("SELECT DISTINCT series, episode, start_ms * 100000000 + end_ms AS ident, start_ms AS s, end_ms AS e FROM cue WHERE end_ms - start_ms >= 350") + """,
+p AS (SELECT series, episode, greatest(0, p - 400) AS s, q + 400 AS e FROM borders WHERE q - p >= 350)""" + _UNION.format("p", "series, episode", "p", 200) + rf""",
+win AS (SELECT series, episode, s, e, CASE WHEN s % 3 = 0 THEN '哈哈哈哈' ELSE '再见' END AS x FROM (SELECT *, row_number() OVER (PARTITION BY series, episode ORDER BY s, e) AS rank FROM pu) WHERE rank <= 20),
+near AS (SELECT win.series, win.episode, win.s, win.e, bool_or(b <> '' AND (contains(b, x) OR contains(x, b))) AS dup FROM win JOIN (SELECT *, regexp_replace(coalesce(text_zh, ''), '[\s\x{{A0}}\x{{3000}}\x{{2002}}\x{{2009}}\x{{202F}}]', '', 'g') AS b FROM orig WHERE end_ms >= start_ms) r ON win.series = r.series AND win.episode = r.episode AND r.end_ms > win.s - 2000 AND r.start_ms < win.e + 2000 GROUP BY ALL),
+jud AS (SELECT win.*, x = '再见' AND NOT coalesce(dup, false) AS ok FROM win LEFT JOIN near ON win.series = near.series AND win.episode = near.episode AND win.s = near.s AND win.e = near.e),
+ev AS (SELECT series, episode, start_ms AS s, end_ms AS e, false AS rec, CAST(id AS BIGINT) AS id FROM orig WHERE end_ms > start_ms UNION ALL SELECT series, episode, s, e, true, 1000000000 + s FROM jud WHERE ok),
+od AS (SELECT *, row_number() OVER v AS k, lead(s) OVER v AS high FROM ev WINDOW v AS (PARTITION BY series, episode ORDER BY s, id)),
+fo AS (SELECT series, episode, k, rec, e AS low, true AS kept FROM (SELECT *, 1 AS one FROM od WHERE k = 1 AND NOT rec) UNION ALL SELECT series, episode, k, rec, least(coalesce(high, e), e), least(coalesce(high, e), e) > s FROM od WHERE k = 1 AND rec
+  UNION ALL SELECT od.series, od.episode, od.k, od.rec, CASE WHEN NOT od.rec THEN od.e WHEN least(coalesce(high, od.e), od.e) > greatest(low, od.s) THEN least(coalesce(high, od.e), od.e) ELSE low END, NOT od.rec OR least(coalesce(high, od.e), od.e) > greatest(low, od.s) FROM fo JOIN od ON fo.series = od.series AND fo.episode = od.episode AND od.k = fo.k + 1),
+wo AS (SELECT seg_id, i, words[i].start_ms AS s, words[i].end_ms AS e FROM (SELECT seg_id, words, unnest(range(1, len(words) + 1)) AS i FROM orig WHERE words IS NOT NULL) WHERE words[i].start_ms IS NOT NULL AND words[i].end_ms IS NOT NULL),
+ga AS (SELECT *, s - lag(e) OVER (PARTITION BY seg_id ORDER BY i) AS gap FROM wo),
+fl AS (SELECT seg_id, coalesce(max(gap), 0) AS raw, count(*) FILTER (gap > 2000) AS cuts, arg_min(s, i) AS ws, arg_max(e, i) AS we FROM ga GROUP BY seg_id),
+ba AS (SELECT series, episode, count(*) AS original, count(*) FILTER (coalesce(cuts > 0, false) OR coalesce(raw >= 2000, false) OR coalesce(coalesce(we, end_ms) - coalesce(ws, start_ms) > 6000, false)) AS suspects, count(*) FILTER (raw >= 2000) AS large_gaps FROM orig LEFT JOIN fl ON orig.seg_id = fl.seg_id GROUP BY ALL),
+wc AS (SELECT series, episode, count(*) AS windows, count(*) FILTER (ok) AS recovered, count(*) FILTER (NOT ok) AS rejected FROM jud GROUP BY ALL), mc AS (SELECT series, episode, count(*) FILTER (rec AND kept) AS merged FROM fo GROUP BY ALL)
+SELECT 2 AS version, true AS enabled, ba.series, ba.episode, original, coalesce(windows, 0) AS windows, coalesce(recovered, 0) AS recovered, coalesce(merged, 0) AS merged, coalesce(rejected, 0) AS rejected, suspects, large_gaps
+FROM ba LEFT JOIN wc ON ba.series = wc.series AND ba.episode = wc.episode LEFT JOIN mc ON ba.series = mc.series AND ba.episode = mc.episode""",
     "cleanup_fold": FLAT.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
 z AS (SELECT seg_id, arg_min(s, i) AS ws, arg_max(e, i) AS we FROM w GROUP BY seg_id),
 r AS (SELECT series, episode, greatest(0, start_ms) AS st, end_ms AS en, trim(text_zh) AS tx, ws, we, row_number() OVER (PARTITION BY series, episode ORDER BY pos, greatest(0, start_ms), end_ms) AS k FROM seg LEFT JOIN z ON seg.seg_id = z.seg_id WHERE trim(text_zh) <> '' AND end_ms > greatest(0, start_ms)),
