@@ -1,6 +1,5 @@
 import datetime
 import json
-import uuid
 
 import pytest
 
@@ -12,10 +11,12 @@ TEXTS = {"1": ["玄冥来了，", "快走！", "我在山门等你。"], "2": ["
 
 
 def tools(log, broken=False):
-    """Stubs made here travel to the tasks by value; every call leaves a file."""
+    """Stubs made here travel to the tasks by value, so they import what they need; every call leaves a file."""
     texts = TEXTS
 
     def note(kind, what):
+        import uuid
+
         (log / f"{kind}-{uuid.uuid4().hex}").write_text(what)
 
     class Recogniser:
@@ -34,9 +35,13 @@ def tools(log, broken=False):
 
     class Requester:
         def request(self, ids, targets, previous, following, glossary):
+            import json
+
+            from subtide.clients import ReplyError
+
             note("llm", json.dumps([targets, previous, following, glossary], ensure_ascii=False))
             if broken and "坏" in targets:
-                raise clients.ReplyError("length", "key sesame too long")
+                raise ReplyError("length", "key sesame too long")
             english = {"玄冥来了，快走！": "Xuanming is coming, go!"}
             return [{"id": i, "en": english.get(t, f" Sentence number {i} of this. ")} for i, t in zip(ids, targets, strict=True)]
 
