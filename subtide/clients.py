@@ -63,6 +63,15 @@ class ReplyError(Exception):
         self.kind = kind
 
 
+def _kind(error: Exception) -> str:
+    """What kind of reply error it is; any other error goes on. The package is shipped by value, so a client that imports it on
+    an executor raises a class that only has the same name."""
+    kind = getattr(error, "kind", None)
+    if not isinstance(kind, str):
+        raise error
+    return kind
+
+
 @dataclass
 class Retrying:
     """Attempts with growing pauses; a cut reply gets the larger budget, a malformed one a correction, an unsupported
@@ -75,20 +84,20 @@ class Retrying:
 
     def translate(self, rows: Sequence[dict]) -> list[dict]:
         budget, correction = self.config.token_budgets[0], False
-        last: ReplyError | None = None
+        last: Exception | None = None
         for attempt in range(self.config.attempts):
             try:
                 out = self.call(rows, budget=budget, correction=correction, capabilities=tuple(self.capabilities))
                 if [o["id"] for o in out] != [r["id"] for r in rows]:
                     raise ReplyError("parse", "ids")
                 return out
-            except ReplyError as error:
-                last = error
-                if error.kind == "length":
+            except Exception as error:
+                kind, last = _kind(error), error
+                if kind == "length":
                     budget = self.config.token_budgets[1]
-                elif error.kind == "parse":
+                elif kind == "parse":
                     correction = True
-                elif error.kind == "unsupported" and self.capabilities:
+                elif kind == "unsupported" and self.capabilities:
                     self.capabilities.pop(0)
                 if attempt + 1 < self.config.attempts:
                     self.sleep(2**attempt)
@@ -163,8 +172,8 @@ def request_with(batches: DataFrame, make: Callable[[], Requester]) -> DataFrame
                     items = client.request(ids, whole(r.targets), whole(r.previous), whole(r.following), json.loads(r.glossary or "[]"))
                     good = [g["id"] for g in items] == ids and all((g["en"] or "").strip() for g in items)
                     out.append((r.series, r.episode, r.batch, "ok" if good else "parse", None if good else "items", items if good else None))
-                except ReplyError as error:
-                    out.append((r.series, r.episode, r.batch, error.kind, str(error), None))
+                except Exception as error:
+                    out.append((r.series, r.episode, r.batch, _kind(error), str(error), None))
             yield pd.DataFrame(out, columns=["series", "episode", "batch", "status", "reason", "items"])
 
     return batches.mapInPandas(run, "series string, episode string, batch bigint, status string, reason string, items array<struct<id:bigint,en:string>>")
@@ -202,9 +211,9 @@ def translate_with(df: DataFrame, make: Callable[[], Translator], size: int = DE
                     good = [g["id"] for g in got] == [r["id"] for r in rows] and all((g["en"] or "").strip() for g in got)
                     ens += [g["en"] for g in got] if good else [None] * len(rows)
                     states += ["ok" if good else "parse"] * len(rows)
-                except ReplyError as error:
+                except Exception as error:
                     ens += [None] * len(rows)
-                    states += [error.kind] * len(rows)
+                    states += [_kind(error)] * len(rows)
             yield batch.assign(en=ens, status=states)
 
     types = {f.name: f.dataType.simpleString() for f in df.schema}
